@@ -5,18 +5,32 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-RECORD = T.StructType.fromDDL(
+_KINDS = {"string": T.StringType(), "long": T.LongType(), "timestamp": T.TimestampType(), "double": T.DoubleType(), "boolean": T.BooleanType()}
+
+
+def _schema(ddl: str) -> T.StructType:
+    """A flat schema from ``name kind`` pairs; needs no running session."""
+    return T.StructType([T.StructField(n, _KINDS[k]) for n, k in (x.split() for x in ddl.split(","))])
+
+
+RECORD = _schema(
     "name string, total long, wins long, kos long, losses long, draws long, nationality string, wikipediaUrl string, "
     "lastUpdated timestamp, gender string, weightClass string, imageUrl string, previousRank long, secondaryScore long, "
     "thirdaryScore double, birthDate string, isSenior boolean"
 )
-STATS = T.StructType.fromDDL(
+STATS = _schema(
     "name string, total long, wins long, kos long, losses long, draws long, nationality string, weightClass string, "
     "imageUrl string, birthDate string, qualityWins long"
 )
-NEWS_ENTRY = T.StructType.fromDDL("boxerName string, headline string, url string, source string, publishedAt string")
-ARTICLE = T.StructType.fromDDL("title string, description string, url string, source struct<name:string>, publishedAt string")
-CATEGORY_EDGE = T.StructType.fromDDL("parent string, child string, kind string")
+NEWS_ENTRY = _schema("boxerName string, headline string, url string, source string, publishedAt string")
+ARTICLE = T.StructType(
+    [
+        *_schema("title string, description string, url string"),
+        T.StructField("source", _schema("name string")),
+        *_schema("publishedAt string"),
+    ]
+)
+CATEGORY_EDGE = _schema("parent string, child string, kind string")
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
