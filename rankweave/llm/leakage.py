@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from itertools import repeat
+from itertools import islice, repeat
 
 import numpy as np
 import pandas as pd
@@ -285,11 +285,12 @@ def leaked_passages(
             if not len(phrases.table):
                 return
             texts = ((k, t) for b in batches for k, t in zip(b["doc_key"].astype("Int64"), b["t"]))
-            got = list(scan_shards(texts, phrases, shard_words))
-            yield pd.DataFrame({
-                "doc_key": pd.array([g[0] for g in got], dtype="Int64"), "item_key": [g[1] for g in got],
-                "first_word": [g[2] for g in got], "end_word": [g[3] for g in got],
-            }).astype({"item_key": "int64", "first_word": "int64", "end_word": "int64"})
+            found = scan_shards(texts, phrases, shard_words)
+            while got := list(islice(found, 50_000)):
+                yield pd.DataFrame({
+                    "doc_key": pd.array([g[0] for g in got], dtype="Int64"), "item_key": [g[1] for g in got],
+                    "first_word": [g[2] for g in got], "end_word": [g[3] for g in got],
+                }).astype({"item_key": "int64", "first_word": "int64", "end_word": "int64"})
 
         one = rows.mapInPandas(scan, "doc_key long, item_key long, first_word long, end_word long")
         out = one if out is None else out.unionByName(one)

@@ -64,6 +64,9 @@ def _mapping() -> dict[str, str]:
         parts = unicodedata.normalize("NFD", c)
         if parts[0] != c and c not in out and (parts[0] in out or unicodedata.normalize("NFC", parts) != c):
             out[c] = unicodedata.normalize("NFC", out.get(parts[0], parts[0]) + parts[1:])
+    for c in map(chr, range(0x00C0, 0x10000)):  # doubles of other characters
+        if c not in out and not "\ud800" <= c <= "\udfff" and unicodedata.normalize("NFC", c) != c:
+            out[c] = unicodedata.normalize("NFC", c)
     for k in list(out):  # results that are themselves mapped
         v = out[k]
         while (w := unicodedata.normalize("NFC", "".join(out.get(c, c) for c in v))) != v:
@@ -116,7 +119,9 @@ class Transducer:
     def __call__(self, text: str) -> str:
         if text.isascii() and "\r" not in text:
             return text
-        return self.pattern.sub(self._cluster, text)
+        out = self.pattern.sub(self._cluster, text)
+        # Letters that compose without marks, as syllables do, join here; hardly any text has them.
+        return out if unicodedata.is_normalized("NFC", out) else unicodedata.normalize("NFC", out)
 
     def _check(self) -> None:
         for k, v in self.mapping.items():

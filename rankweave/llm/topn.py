@@ -10,7 +10,8 @@ per group and task, whatever the group's size.
 
 from __future__ import annotations
 
-from math import ceil, log2
+from decimal import Decimal
+from math import ceil, log2, prod
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -23,23 +24,17 @@ def _code(rows: DataFrame, order: list[tuple[str, bool]]) -> tuple[Column, str,
     """The code, its type, and the number of codes. ``order``: column and whether greater is better; null is worst."""
     aggs = [f(F.col(c)).alias(f"{n}_{i}") for i, (c, _) in enumerate(order) for n, f in (("lo", F.min), ("hi", F.max))]
     got = rows.agg(*aggs).first()
-    parts, radix = [], 1
-    spans = []
-    for i, (c, up) in enumerate(order):
-        lo, hi = got[f"lo_{i}"], got[f"hi_{i}"]
-        lo, hi = (0, 0) if lo is None else (lo, hi)
-        step = F.col(c) - F.lit(lo) if up else F.lit(hi) - F.col(c)
-        parts.append((step, hi - lo + 2))
-        spans.append(hi - lo + 2)
-    for n in spans:
-        radix *= n
-    kind = "bigint" if radix < 2**62 else "decimal(38,0)"
-    if radix >= 10**37:
-        raise ValueError(f"score and identifier span {log2(radix):.0f} bits; at most 122 fit the code")
-    code = F.lit(0).cast(kind)
-    for step, n in parts:
-        code = (code * F.lit(n).cast(kind) + F.coalesce(step + F.lit(1), F.lit(0)).cast(kind)).cast(kind)
-    return code, kind, radix
+    bounds = [(got[f"lo_{i}"] or 0, got[f"hi_{i}"] or 0) for i in range(len(order))]
+    size = prod(hi - lo + 2 for lo, hi in bounds)
+    kind = "bigint" if size < 2**62 else "decimal(38,0)"
+    if size >= 10**37:
+        raise ValueError(f"score and identifier span {log2(size):.0f} bits; at most 122 fit the code")
+    num = lambda n: F.lit(Decimal(n)).cast(kind)
+    code = num(0)
+    for (c, up), (lo, hi) in zip(order, bounds):
+        step = F.col(c).cast(kind) - num(lo - 1) if up else num(hi + 1) - F.col(c).cast(kind)
+        code = (code * num(hi - lo + 2) + F.coalesce(step, num(0))).cast(kind)
+    return code, kind, size
 
 
 def top_n(
@@ -95,7 +90,7 @@ def top_n(
         )
 
     names = [*group, "__code"]
-    bounds = {"__lo": F.lit(0).cast(kind), "__hi": F.lit(size).cast(kind), "__need": F.lit(n).cast("long"), "__size": F.lit(None).cast("long")}
+    bounds = {"__lo": F.lit(0).cast(kind), "__hi": F.lit(Decimal(size)).cast(kind), "__need": F.lit(n).cast("long"), "__size": F.lit(None).cast("long")}
     active, cuts, total = base.select(*names).withColumns(bounds), None, 0
     for _ in range(ceil(log2(max(2, size)) / log2(fan)) + 3):
         state = checkpointed(narrowed(active))
