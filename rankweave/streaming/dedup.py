@@ -104,7 +104,7 @@ class SeenStore:
                 live.unionByName(keyed.select(*_KEY, F.col("kept").alias("best"), "seen"))
                 .groupBy(*_KEY).agg(F.min("best").alias("best"), F.max("seen").alias("seen"))
             )
-            stays = F.coalesce(F.col("seen") >= F.lit(edge), F.lit(edge is None)) if edge is not None else F.lit(True)
+            stays = F.coalesce(F.col("seen") >= F.lit(edge).cast("timestamp"), F.lit(False))
             state = state.withColumn("stays", stays).persist()
             state.where("stays").drop("stays").write.mode("overwrite").parquet(self._path("live", v))
             state.where("not stays").drop("stays").write.mode("overwrite").parquet(self._path("expired", v))
@@ -145,8 +145,8 @@ def dedupe_stream(stream: DataFrame, store: SeenStore, url: str, fallback: list[
     far becomes surplus then, so each message of n deliveries gives n - 1.
 
     Defined cases: null and empty ``url`` alike are missing; a missing fallback
-    column compares as the empty string; a null ``at`` is later than any other
-    and never expires on its own; rows that repeat in full, same ``id``, are one
+    column compares as the empty string; a null ``at`` is later than any other,
+    and an identifier seen without a time only is looked up, not kept live; rows that repeat in full, same ``id``, are one
     delivery; an empty stream gives no rows; other columns are ignored.
     """
     rows = stream.select(*message_key(url, fallback), F.col(at).cast("timestamp").alias("at"), F.col(id).cast("long").alias("id"))
