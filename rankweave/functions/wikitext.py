@@ -189,6 +189,11 @@ def _weight_param(lines: Column) -> Column:
     return F.aggregate(lines, state(none, F.lit(0), F.lit(False), none, F.lit(False)), line, lambda acc: acc["raw"])
 
 
+def _once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """``df`` with a costly column that the optimizer can neither copy into its uses nor into a filter moved below it."""
+    return df.select("*", F.explode_outer(F.array(value)).alias(name))
+
+
 def parse_records(pages: DataFrame, text: str) -> DataFrame:
     """``pages`` with the fields read from their infobox and record table.
 
@@ -201,12 +206,14 @@ def parse_records(pages: DataFrame, text: str) -> DataFrame:
     nationality stays; other columns pass through.
     """
     lines = F.transform(F.split(F.col("__box"), "\n"), lambda l: F.struct(l.alias("line"), line_params(l).alias("params")))
-    df = pages.withColumn("__box", infobox(F.col(text))).withColumn("__lines", F.coalesce(lines, F.expr("cast(array() as array<struct<line string, params array<struct<key string, value string>>>>)")))
+    none = F.expr("cast(array() as array<struct<line string, params array<struct<key string, value string>>>>)")
+    df = _once(_once(pages, "__box", infobox(F.col(text))), "__lines", F.coalesce(lines, none))
     params = F.transform(
         F.filter(F.flatten(F.transform("__lines", lambda l: l["params"])), lambda p: (p["key"] != "") & ~p["key"].isin("weight", "weight_class")),
         lambda p: F.struct(p["key"].alias("key"), strip_markup(p["value"]).alias("value")),
     )
-    df = df.withColumn("__params", params).withColumn("__nums", F.filter(F.transform("__params", lambda p: F.struct(p["key"].alias("key"), leading_int(p["value"]).alias("n"))), lambda p: p["n"].isNotNull()))
+    df = _once(df, "__params", params)
+    df = _once(df, "__nums", F.filter(F.transform("__params", lambda p: F.struct(p["key"].alias("key"), leading_int(p["value"]).alias("n"))), lambda p: p["n"].isNotNull()))
 
     def last(*keys: str) -> Column:
         return F.get(F.reverse(F.filter("__nums", lambda p: p["key"].isin(*keys))), F.lit(0))["n"]

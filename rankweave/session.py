@@ -52,3 +52,14 @@ def checkpointed(df: DataFrame) -> DataFrame:
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """``df`` over all cores if its scan would keep most of them idle, else as it is.
+
+    A table of a few small files gives a few tasks, too few for work that is
+    heavy per row. Tables with more partitions than half the cores, as all
+    large ones have, are never moved.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() * 2 <= cores else df
