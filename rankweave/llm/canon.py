@@ -21,6 +21,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rankweave.session import spread
+
 # Names of people and other names in common use that a list of aliases may lack, by country.
 PEOPLE = {
     "Albania": "Shqiperia", "Algeria": "Algerian", "Angola": "Angolan", "Antigua and Barbuda": "Barbudan; Antigua; Antiguan and Barbudan",
@@ -260,4 +262,4 @@ def map_to_list(df: DataFrame, key: str, fields: dict[str, DataFrame], aliases:
             yield pd.concat(parts)
 
     typed = df.select(F.col(key).cast("long").alias("__key"), *(F.col(c).cast("string").alias(c) for c in columns))
-    return typed.mapInPandas(look_up, "row_key long, field string, value string, canon_ord long, is_entry boolean").withColumnRenamed("row_key", key)
+    return spread(typed, "__key").mapInPandas(look_up, "row_key long, field string, value string, canon_ord long, is_entry boolean").withColumnRenamed("row_key", key)

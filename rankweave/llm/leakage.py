@@ -23,6 +23,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rankweave.session import spread
+
 _WORD = re.compile(r"[^\W_]+")
 # Characters that take no room, which a reader doesn't see inside a word.
 _UNSEEN = "\u00ad\u200b\u200c\u200d\u2060\ufeff"
@@ -277,6 +279,7 @@ def leaked_passages(
     passes = max(1, -(-n_words // pass_words))
     out = None
     rows = docs.select(F.col(doc).cast("long").alias("doc_key"), F.col(text).alias("t")).where("t is not null and t != ''")
+    rows = spread(rows, "doc_key")
     for p in range(passes):
         block = asked.where(F.pmod(F.xxhash64("id"), F.lit(passes)) == p)
         phrases = Phrases(sorted((r["id"], r["t"]) for r in block.collect()), min_words)

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rankweave.operators.keyed import HOT_ROWS, attach
-from rankweave.session import checkpointed
+from rankweave.session import checkpointed, spread
 
 # Letters of other scripts and the letter whose shape they share.
 SHAPES = {
@@ -169,7 +169,7 @@ def _prints(df: DataFrame, id: str, text: str) -> DataFrame:
             yield pd.DataFrame({"id": b["id"].astype("Int64"), "form": forms, "raw": raws})
 
     rows = df.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text")).where("text is not null and id is not null")
-    return rows.mapInPandas(scan, "id long, form binary, raw binary")
+    return spread(rows, "id").mapInPandas(scan, "id long, form binary, raw binary")
 
 
 def look_alike_classes(df: DataFrame, id: str, text: str, hot_rows: int = HOT_ROWS) -> DataFrame:

@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rankweave.llm.leakage import words
+from rankweave.session import spread
 
 # Fixed value: the public pattern by which the byte-level tokenizers cut a text before merging.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -159,7 +160,7 @@ def pack_texts(
             src = [xxhash.xxh3_64_intdigest(s.encode("utf-8", "surrogatepass")) - 2**63 if s else 0 for s in b["source"]]
             yield pd.DataFrame({"id": b["id"].astype("Int64"), "n": n, "src": src, "clu": [fingerprint(t) if t else 0 for t in b["text"]]})
 
-    sized = rows.mapInPandas(measure, "id long, n long, src long, clu long")
+    sized = spread(rows, "id").mapInPandas(measure, "id long, n long, src long, clu long")
     sized = sized.withColumn("shard", F.pmod(F.xxhash64("id", "clu"), F.lit(shards)))
     ordered = sized.repartition(shards, "shard").sortWithinPartitions("shard", F.expr(f"n % {capacity}").desc(), "clu", "id", "n")
 
