@@ -184,7 +184,7 @@ def split_values(df: DataFrame, key: Column | str, field: Column | str, names: I
         raise ValueError(f"{len(fixed)} names with separators; at most {MAX_NAMES} are sent to every task")
     key = F.col(key) if isinstance(key, str) else key
     field = F.col(field) if isinstance(field, str) else field
-    rows = df.select(key.cast("long").alias("row_key"), field.cast("string").alias("field"))
+    rows = df.select(key.cast("long").cast("string").alias("row_key"), field.cast("string").alias("field"))
     # A field without any separator character holds one value at most.
     if min_values > 1:
         rows = rows.where(F.col("field").rlike(r"(?i)[,;/|&•·\n\r*#]|<|and"))
@@ -194,7 +194,7 @@ def split_values(df: DataFrame, key: Column | str, field: Column | str, names: I
         grammar = _grammar(fixed)
         for batch in batches:
             keys, pos, items, errors = [], [], [], []
-            for k, text in zip(batch["row_key"].astype("Int64"), batch["field"]):
+            for k, text in zip(batch["row_key"], batch["field"]):
                 got = grammar.parse(text)
                 if len(got) >= min_values:
                     for p, item, error in got:
@@ -202,6 +202,8 @@ def split_values(df: DataFrame, key: Column | str, field: Column | str, names: I
                         pos.append(p)
                         items.append(item)
                         errors.append(error)
-            yield pd.DataFrame({"row_key": pd.array(keys, dtype="Int64"), "pos": pos, "item": pd.array(items, dtype=object), "error": pd.array(errors, dtype=object)})
+            yield pd.DataFrame({"row_key": pd.array(keys, dtype=object), "pos": pos, "item": pd.array(items, dtype=object), "error": pd.array(errors, dtype=object)})
 
-    return rows.mapInPandas(parse, "row_key long, pos long, item string, error string")
+    # Keys pass as text, since a column of numbers and nulls would reach Python as floating point.
+    out = rows.mapInPandas(parse, "row_key string, pos long, item string, error string")
+    return out.withColumn("row_key", F.col("row_key").cast("long"))

@@ -47,7 +47,7 @@ def match_names(articles: DataFrame, watched: DataFrame) -> DataFrame:
     text = F.lower(F.concat(F.coalesce("title", F.lit("")), F.lit(" "), F.coalesce("description", F.lit(""))))
     own = F.lower(search_name(F.coalesce("fighter", F.lit(""))))
     hit = F.get(F.filter("__w", lambda w: F.contains(F.col("__text"), w["clean"])), F.lit(0))["name"]
-    rows = articles.withColumn("__text", text).join(F.broadcast(names))  # one row
+    rows = articles.withColumns({"__text": text, "__w": names.scalar()})
     name = F.when((F.coalesce("fighter", F.lit("")) != "") & F.contains(F.col("__text"), own), F.col("fighter")).otherwise(hit)
     return rows.withColumn("boxerName", name).where("boxerName is not null").drop("__text", "__w")
 

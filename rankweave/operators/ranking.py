@@ -63,9 +63,9 @@ def quota_walk(df: DataFrame, order: list[Column], counts: Column, quota: int) -
     """
     key = F.struct(*(c.alias(f"k{i}") for i, c in enumerate(order)))
     keyed = df.withColumn("__key", key)
-    last = keyed.where(counts).select("__key").orderBy("__key").limit(quota).agg(F.max("__key").alias("__last"), F.count("*").alias("__n"))
-    # One row by construction.
-    return keyed.join(F.broadcast(last), (F.col("__n") < quota) | (F.col("__key") <= F.col("__last"))).drop("__key", "__last", "__n")
+    top = keyed.where(counts).select("__key").orderBy("__key").limit(quota)
+    last = top.agg(F.struct(F.max("__key").alias("key"), F.count("*").alias("n")).alias("last")).scalar()
+    return keyed.where((last["n"] < quota) | (F.col("__key") <= last["key"])).drop("__key")
 
 
 def _orders(collated: bool, tie: str) -> dict[str, list[Column]]:

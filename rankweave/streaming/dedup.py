@@ -159,11 +159,18 @@ def dedupe_stream(stream: DataFrame, store: SeenStore, url: str, fallback: list[
 
 def surplus_deliveries(
     spark: SparkSession, path: str, url: str = "url", fallback: tuple[str, str] = ("headline", "source"), at: str = "received_at",
-    id: str = "delivery_id", horizon: str = "7 days", files_per_batch: int = 6, root: str | None = None,
+    id: str = "delivery_id", horizon: str = "7 days", files_per_batch: int | None = None, root: str | None = None,
 ) -> DataFrame:
-    """Streams a folder of Parquet files through a fresh store; ``(id, at)`` of the surplus deliveries."""
+    """Streams a folder of Parquet files through a fresh store; ``(id, at)`` of the surplus deliveries.
+
+    Unless ``files_per_batch`` says otherwise the backlog is taken in batches
+    of six files or an eighth of the files, whichever is more, so that their
+    number doesn't grow with the backlog.
+    """
     store = SeenStore(spark, root or f"{shared_dir(spark)}/seen-{uuid.uuid4().hex}", horizon)
-    schema = spark.read.parquet(path).schema
+    table = spark.read.parquet(path)
+    schema = table.schema
+    files_per_batch = files_per_batch or max(6, -(-len(table.inputFiles()) // 8))
     fs, p = store._fs(path)
     if fs.getFileStatus(p).isFile():  # the file source takes a folder or a pattern, not one file
         path = f"{path[:-1]}[{path[-1]}]"
