@@ -130,7 +130,7 @@ class Reference:
             if len(term) >= short:
                 for d in deletions(term, self.edits(len(term))):
                     self.index.setdefault(d, []).append(term)
-        self.short = short
+        self.short, self.longest = short, max(map(len, self.exact), default=0)
 
     @staticmethod
     def edits(length: int) -> int:
@@ -139,7 +139,7 @@ class Reference:
 
     def nearest(self, bare: str) -> tuple[float, int] | None:
         """The smallest weighted distance and the entry meant; ties go to the more frequent entry, then the lower ord."""
-        if len(bare) < self.short - 1:
+        if not self.short - 1 <= len(bare) <= self.longest + 2:
             return None
         best = None
         for d in deletions(bare, self.edits(len(bare))):
@@ -190,7 +190,9 @@ def readings(value: str) -> Iterator[str]:
             todo.append(short)
         if "," in form and "(" not in form:
             head, _, tail = form.rpartition(",")
-            todo += [tail, f"{tail.strip()} {head.strip()}"]
+            todo.append(tail)
+            if "," not in head:
+                todo.append(f"{tail.strip()} {head.strip()}")
 
 
 @lru_cache(maxsize=4)
@@ -214,8 +216,8 @@ def map_to_list(df: DataFrame, key: str, fields: dict[str, DataFrame], aliases:
     set aside; bare weights and values further than two edits (one, up to four
     letters) from every term are unmatched; rows that repeat give one row per
     repeat (use ``distinct``); an empty list leaves all unmatched; other columns
-    are ignored. Texts longer than 200 characters mean no entry by themselves
-    unless an exact reading remains, since every term is far shorter.
+    are ignored. Long texts are read whole; what remains longer than every term
+    by more than two characters is further than two edits from each.
 
     A narrow map: the dictionary, whose size is checked, goes to every task and
     each task looks up each different value once. Nothing is shuffled but the
@@ -251,15 +253,17 @@ def map_to_list(df: DataFrame, key: str, fields: dict[str, DataFrame], aliases:
                 got = {}
                 for v in values.unique():
                     if (o := memo.get((field, v))) is None:
-                        o = ref.names.get(v) or (ref.lookup(v) if len(v) <= 200 else ref.exact.get(fold(v), 0))
+                        o = ref.names.get(v) or ref.lookup(v)
                         if len(memo) < 500_000:
                             memo[field, v] = o
                     got[v] = o
                 parts.append(pd.DataFrame({
-                    "row_key": batch["__key"][some].astype("Int64"), "field": field, "value": values,
+                    "row_key": batch["__key"][some], "field": field, "value": values,
                     "canon_ord": values.map(got).astype("int64"), "is_entry": values.isin(ref.names),
                 }))
             yield pd.concat(parts)
 
-    typed = df.select(F.col(key).cast("long").alias("__key"), *(F.col(c).cast("string").alias(c) for c in columns))
-    return spread(typed, "__key").mapInPandas(look_up, "row_key long, field string, value string, canon_ord long, is_entry boolean").withColumnRenamed("row_key", key)
+    typed = df.select(F.col(key).cast("long").cast("string").alias("__key"), *(F.col(c).cast("string").alias(c) for c in columns))
+    return spread(typed, "__key").mapInPandas(look_up, "row_key string, field string, value string, canon_ord long, is_entry boolean").select(
+        F.col("row_key").cast("long").alias(key), "field", "value", "canon_ord", "is_entry"
+    )

@@ -278,7 +278,7 @@ def leaked_passages(
     n_words = asked.agg(F.sum(F.size(F.split("t", r"\s+")))).first()[0] or 0
     passes = max(1, -(-n_words // pass_words))
     out = None
-    rows = docs.select(F.col(doc).cast("long").alias("doc_key"), F.col(text).alias("t")).where("t is not null and t != ''")
+    rows = docs.select(F.col(doc).cast("long").cast("string").alias("doc_key"), F.col(text).alias("t")).where("t is not null and t != ''")
     rows = spread(rows, "doc_key")
     for p in range(passes):
         block = asked.where(F.pmod(F.xxhash64("id"), F.lit(passes)) == p)
@@ -287,14 +287,14 @@ def leaked_passages(
         def scan(batches: Iterator[pd.DataFrame], phrases: Phrases = phrases) -> Iterator[pd.DataFrame]:
             if not len(phrases.table):
                 return
-            texts = ((k, t) for b in batches for k, t in zip(b["doc_key"].astype("Int64"), b["t"]))
+            texts = ((k, t) for b in batches for k, t in zip(b["doc_key"], b["t"]))
             found = scan_shards(texts, phrases, shard_words)
             while got := list(islice(found, 50_000)):
                 yield pd.DataFrame({
-                    "doc_key": pd.array([g[0] for g in got], dtype="Int64"), "item_key": [g[1] for g in got],
+                    "doc_key": pd.array([g[0] for g in got], dtype=object), "item_key": [g[1] for g in got],
                     "first_word": [g[2] for g in got], "end_word": [g[3] for g in got],
                 }).astype({"item_key": "int64", "first_word": "int64", "end_word": "int64"})
 
-        one = rows.mapInPandas(scan, "doc_key long, item_key long, first_word long, end_word long")
+        one = rows.mapInPandas(scan, "doc_key string, item_key long, first_word long, end_word long")
         out = one if out is None else out.unionByName(one)
-    return out.select(F.col("doc_key").alias("doc_id"), F.col("item_key").alias("item_id"), "first_word", "end_word")
+    return out.select(F.col("doc_key").cast("long").alias("doc_id"), F.col("item_key").alias("item_id"), "first_word", "end_word")

@@ -152,17 +152,17 @@ def pack_texts(
     the text's length, and at most a few containers per shard stay part empty.
     """
     shards = max(1, -(-df.count() // shard_texts))
-    rows = df.select(F.col(id).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.coalesce(F.col(source), F.lit("")).alias("source"))
+    rows = df.select(F.col(id).cast("long").cast("string").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.coalesce(F.col(source), F.lit("")).alias("source"))
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             n = [count_tokens(t, vocabulary) for t in b["text"]]
             src = [xxhash.xxh3_64_intdigest(s.encode("utf-8", "surrogatepass")) - 2**63 if s else 0 for s in b["source"]]
-            yield pd.DataFrame({"id": b["id"].astype("Int64"), "n": n, "src": src, "clu": [fingerprint(t) if t else 0 for t in b["text"]]})
+            yield pd.DataFrame({"id": b["id"], "n": n, "src": src, "clu": [fingerprint(t) if t else 0 for t in b["text"]]})
 
-    sized = spread(rows, "id").mapInPandas(measure, "id long, n long, src long, clu long")
+    sized = spread(rows, "id").mapInPandas(measure, "id string, n long, src long, clu long")
     sized = sized.withColumn("shard", F.pmod(F.xxhash64("id", "clu"), F.lit(shards)))
-    ordered = sized.repartition(shards, "shard").sortWithinPartitions("shard", F.expr(f"n % {capacity}").desc(), "clu", "id", "n")
+    ordered = sized.repartition(shards, "shard").sortWithinPartitions("shard", F.expr(f"n % {capacity}").desc(), "clu", F.col("id").cast("long"), "n")
 
     def fill(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []
@@ -186,7 +186,7 @@ def pack_texts(
                     "id": d["id"].to_numpy()[k], "piece": nth + 1, "token_start": nth * capacity, "n_tokens": capacity,
                     "container": base + (at[:, 0].max() + 1 if len(at) else 0) + np.arange(len(k)), "place": 1, "start": 0,
                 }))
-            return pd.concat(parts, ignore_index=True).astype({"id": "Int64"})
+            return pd.concat(parts, ignore_index=True)
 
         shard = None
         for b in batches:
@@ -198,5 +198,5 @@ def pack_texts(
         if held:
             yield close()
 
-    out = ordered.mapInPandas(fill, "id long, piece long, token_start long, n_tokens long, container long, place long, start long")
-    return out.withColumnRenamed("id", id)
+    out = ordered.mapInPandas(fill, "id string, piece long, token_start long, n_tokens long, container long, place long, start long")
+    return out.withColumn("id", F.col("id").cast("long")).withColumnRenamed("id", id)
