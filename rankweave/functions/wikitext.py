@@ -23,7 +23,12 @@ IMAGE = r"jpg|jpeg|png|gif|svg|webp"
 NO_PORTRAIT = r"(?i)Med[\s_]*\d*\.png|Generic_belt_icon\.svg|Olympic[\s_]*rings\.svg|Boxbelt|Medal[\s_]|Ribbon[\s_]|File-icon"
 IMAGE_BASE = "https://en.wikipedia.org/wiki/Special:FilePath/"
 
+# Patterns of markup and what stands for each in plain text, in the order applied.
 _LINK = r"\[\[(?:[^\]|]*\|)?([^\]]*)\]\]"
+_PLAIN = (
+    (_LINK, "$1"), ("'''", ""), ("''", ""), (r"\{\{[^}]*\}\}", ""), (r"<ref[^>]*/>", ""), (r"<ref[^>]*>[\s\S]*?</ref>", ""), (r"<[^>]+>", ""), ("&nbsp;", " "),
+)
+_PLAIN_CLASS = ((r"<[^>]+>", " "), (r"\{\{[^}]*\}\}", " "), (_LINK, "$1"), ("'''", ""), ("''", ""), ("&nbsp;", " "))
 _PARAM = rf"([A-Za-z0-9_ ]+)[{WS}]*=[{WS}]*"
 
 
@@ -52,9 +57,7 @@ def infobox(text: Column, prefixes: tuple[str, ...] = INFOBOXES) -> Column:
 
 def strip_markup(c: Column) -> Column:
     """Links shown by their text; emphasis, templates, references and tags removed; space squeezed."""
-    for pattern, to in (
-        (_LINK, "$1"), ("'''", ""), ("''", ""), (r"\{\{[^}]*\}\}", ""), (r"<ref[^>]*/>", ""), (r"<ref[^>]*>[\s\S]*?</ref>", ""), (r"<[^>]+>", ""), ("&nbsp;", " "),
-    ):
+    for pattern, to in _PLAIN:
         c = F.regexp_replace(c, pattern, to)
     return squeeze(c)
 
@@ -64,7 +67,7 @@ def weight_class(raw: Column) -> Column:
     inner = F.regexp_replace(F.regexp_replace(raw, rf"^\{{\{{plainlist[{WS}]*\|?", ""), r"\}\}\z", "")
     items = F.filter(F.transform(F.split(inner, r"\*"), trim_ws), lambda x: x != "")
     c = F.when(F.contains(raw, F.lit("{{plainlist")), F.coalesce(F.get(items, F.lit(0)), F.lit(""))).otherwise(raw)
-    for pattern, to in ((r"<[^>]+>", " "), (r"\{\{[^}]*\}\}", " "), (_LINK, "$1"), ("'''", ""), ("''", ""), ("&nbsp;", " ")):
+    for pattern, to in _PLAIN_CLASS:
         c = F.regexp_replace(c, pattern, to)
     return let(squeeze(c), _listed_class)
 
