@@ -128,8 +128,12 @@ def previous_ranks(previous: DataFrame, name: str) -> DataFrame:
 
 
 def boards(scored: DataFrame, previous: DataFrame | None = None, **options) -> DataFrame:
-    """All six boards in one long table; ``previous`` is the last run's ``(board, name, rank, imageUrl)``."""
-    out = None
+    """All six boards in one long table; ``previous`` is the last run's ``(board, name, rank, imageUrl)``.
+
+    Records are written once to the shared folder, so that what made them, a
+    parse of all pages perhaps, doesn't run once per board.
+    """
+    scored, out = checkpointed(scored), None
     for name in BOARDS:
         before = previous_ranks(previous, name) if previous is not None and name in ("best", "worst") else None
         one = board(scored, name, before, **options)

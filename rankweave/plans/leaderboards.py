@@ -20,19 +20,18 @@ AS_OF, CUTOFF = 2023, "2023-01-15T00:00:00.000Z"
 Query = Callable[[SparkSession, str], DataFrame]
 
 
-def _stats(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "fighter_records").distinct()
-    return rows.withColumnsRenamed({"weightclass": "weightClass", "imageurl": "imageUrl", "birthdate": "birthDate", "lastupdated": "lastUpdated", "wikipediaurl": "wikipediaUrl"}).withColumn(
-        "qualityWins", F.col("secondaryscore")
-    ).drop("secondaryscore", "thirdaryscore", "issenior", "previousrank")
+_RANKED = ["rec_id", "name", "total", "wins", "kos", "losses", "draws", "nationality", "gender", "imageurl", "weightclass", "secondaryscore", "birthdate"]
 
 
-def _scored(spark: SparkSession, d: str) -> DataFrame:
-    return ranking.with_scores(_stats(spark, d), AS_OF)
+def _scored(spark: SparkSession, d: str, *more: str) -> DataFrame:
+    """Records once each, with scores; only the columns asked for are read and compared."""
+    rows = table(spark, d, "fighter_records").select(*_RANKED, *more).distinct()
+    names = {"weightclass": "weightClass", "imageurl": "imageUrl", "birthdate": "birthDate", "lastupdated": "lastUpdated", "wikipediaurl": "wikipediaUrl", "secondaryscore": "qualityWins"}
+    return ranking.with_scores(rows.withColumnsRenamed(names), AS_OF)
 
 
 _SCORED_SQL = f"""
-with r as (select distinct * from fighter_records),
+with r as (select distinct {', '.join(_RANKED)} from fighter_records),
 s as (select rec_id, name, wins, kos, losses, coalesce(draws, 0) as draws, nullif(gender, '') as gender, nullif(imageurl, '') as image, nullif(weightclass, '') as weightclass,
   secondaryscore as s2, case when losses = 0 then cast(wins as double) else cast(wins as double) / losses end as s3,
   coalesce({AS_OF} - nullif(try_cast(birthdate as int), 0) > 60, false) as senior, icu_sort_key(name, 'root') as k
@@ -420,7 +419,7 @@ def json_unnest(spark: SparkSession, d: str) -> DataFrame:
 
 def boards_document(spark: SparkSession, d: str) -> DataFrame:
     """All six boards as the one document that readers get."""
-    return rankings_document(ranking.boards(_scored(spark, d), tie="rec_id"), f"{AS_OF}-01-01T00:00:00.000Z")
+    return rankings_document(ranking.boards(_scored(spark, d, "wikipediaurl", "lastupdated"), tie="rec_id"), f"{AS_OF}-01-01T00:00:00.000Z")
 
 
 _BOARDS = {"best": "best_board", "worst": "worst_board", "secondary": "quality_board", "secondaryWorst": "quality_worst_board", "thirdary": "ratio_board", "thirdaryWorst": "ratio_worst_board"}
