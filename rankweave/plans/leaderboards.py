@@ -227,14 +227,16 @@ def wiki_quality_wins(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", quality_wins(F.col("text")).alias("quality_wins"))
 
 
+#: White space as the web counts it, for use inside a class.
+_WS_SQL = r"\s\x0b\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}"
 _QUALITY_SQL = r"""
-with t as (select doc_id, regexp_extract(text, '(?i)={2,}\s*(?:Professional\s+)?(?:Mixed martial arts\s+)?record\s*={2,}') as head, text from documents),
+with t as (select doc_id, regexp_extract(text, '(?i)={2,}[@]*(?:Professional[@]+)?(?:Mixed martial arts[@]+)?record[@]*={2,}') as head, text from documents),
 b as (select doc_id, case when head = '' then '' else text[strpos(text, head) + length(head):] end as body from t),
-e as (select doc_id, body, regexp_extract(body, '\n={2,}\s*[A-Z]') as stop from b),
+e as (select doc_id, body, regexp_extract(body, '\n={2,}[@]*[A-Z]') as stop from b),
 r as (select doc_id, unnest(string_split(case when stop = '' then body else body[1:strpos(body, stop) - 1] end, chr(10) || '|-')) as row from e),
-k as (select doc_id, row, list_filter(list_transform(string_split(row, chr(10) || '|'), lambda c: regexp_replace(c, '^\s+|\s+$', '', 'g')), lambda c: c <> '') as cells from r)
+k as (select doc_id, row, list_filter(list_transform(string_split(row, chr(10) || '|'), lambda c: regexp_replace(c, '^[@]+|[@]+$', '', 'g')), lambda c: c <> '') as cells from r)
 select doc_id, count(*) filter (where regexp_matches(row, '(?i)(^|[^A-Za-z0-9_])Win([^A-Za-z0-9_]|$)') and regexp_matches(coalesce(cells[3], ''), '\[\[.+?\]\]')) as quality_wins from k group by doc_id
-"""
+""".replace("@", _WS_SQL)
 
 
 def plain_text(spark: SparkSession, d: str) -> DataFrame:
@@ -242,8 +244,6 @@ def plain_text(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", strip_markup(F.col("text")).alias("plain"))
 
 
-_WS_SQL = r"\s\x0b\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}"
-
 
 def _stripped_sql(c: str, squeeze_ends: bool = True) -> str:
     for pattern, to in (
