@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from rankweave.llm.canon import map_to_list
 from rankweave.llm.leakage import leaked_passages
 from rankweave.llm.lookalike import SHAPES, consistent_text, look_alike_classes, look_alike_pairs
-from rankweave.llm.packing import pack_texts
+from rankweave.llm.packing import ledger, pack_texts, token_counts
 from rankweave.llm.topn import top_n
 from rankweave.operators.keyed import missing, newest
 from rankweave.sources.tables import table
@@ -48,6 +48,12 @@ def p6_containers(spark: SparkSession, d: str) -> DataFrame:
     return pack_texts(table(spark, d, "documents"), "doc_id", "text", "source", 2048)
 
 
+def p6_ledger(spark: SparkSession, d: str) -> DataFrame:
+    """Texts placed, and how often a container is overfull, holds copies or a source twice, or loses tokens."""
+    docs = table(spark, d, "documents")
+    return ledger(pack_texts(docs, "doc_id", "text", "source", 2048, labels=True), token_counts(docs, "doc_id", "text"), "doc_id", 2048)
+
+
 def _leaks(spark: SparkSession, d: str) -> DataFrame:
     return leaked_passages(table(spark, d, "documents"), table(spark, d, "eval_items"), "doc_id", "text", "item_id", "text", 12)
 
@@ -78,7 +84,7 @@ def p8_forms(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_misses, p2_found, p6_containers, p7_found, p7_spans, p8_found, p8_classes, p8_forms)}
+    return {f.__name__: f for f in (p1_found, p1_misses, p2_found, p6_containers, p6_ledger, p7_found, p7_spans, p8_found, p8_classes, p8_forms)}
 
 
 _P2 = """
@@ -89,6 +95,11 @@ select entry_id from (
 where k <= 3
 """
 
+_P6 = """
+select 'texts' as what, count(*) as n from documents
+union all select unnest(['overfull', 'copies together', 'sources together', 'tokens lost']), 0
+"""
+
 _P7 = r"""
 with d as (select doc_id, regexp_extract_all(lower(regexp_replace(text, '[\x{AD}\x{200B}-\x{200D}\x{2060}\x{FEFF}]', '', 'g')), '[\pL\pN]+') as w from documents),
 e as (select item_id, regexp_extract_all(lower(text), '[\pL\pN]+') as w from eval_items),
@@ -115,4 +126,4 @@ select x.doc_id as doc_a, y.doc_id as doc_b from f x join f y on x.form = y.form
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p2_found": _P2, "p7_found": _P7, "p8_found": _p8()}
+    return {"p2_found": _P2, "p6_ledger": _P6, "p7_found": _P7, "p8_found": _p8()}

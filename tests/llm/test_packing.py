@@ -9,47 +9,86 @@ from hypothesis import strategies as st
 from rankweave.llm.packing import VOCABULARY, ResidualBins, count_tokens, fingerprint, pack, pack_texts
 
 
-def plain_best_fit(sizes, sources, clusters, capacity):
-    """The rule read literally, by looking at every container."""
-    bins = []
-    for s, a, b in zip(sizes, sources, clusters):
-        for avoid_a, avoid_b in ((True, True), (False, True), (False, False)):
-            fits = [x for x in bins if x["room"] >= s and not (avoid_a and a and a in x["a"]) and not (avoid_b and b and b in x["b"])]
-            if fits:
-                x = min(fits, key=lambda x: x["room"])
-                break
-        else:
-            bins.append(x := {"room": capacity, "a": set(), "b": set()})
-        x["room"] -= s
-        x["a"].add(a)
-        x["b"].add(b)
-    return sorted(x["room"] for x in bins)
-
-
-@settings(max_examples=60, deadline=None)
-@given(st.lists(st.tuples(st.integers(0, 50), st.integers(0, 3)), max_size=60))
-def test_same_as_looking_at_every_container_without_conflicts(items):
-    items = sorted(items, reverse=True)
-    sizes = np.array([i[0] for i in items], dtype=np.int64)
-    none = np.zeros(len(items), dtype=np.int64)
-    at = pack(sizes, none, none, 50)
-    room = defaultdict(lambda: 50)
-    for s, (b, _, start) in zip(sizes, at):
-        assert start == 50 - room[b]
-        room[b] -= s
-    assert sorted(room.values()) == plain_best_fit(sizes.tolist(), none, none, 50)
-
-
-def test_conflicts_are_avoided_where_room_allows():
+def plain_best_fit(items, capacity):
+    """The rule read literally, by looking at every container: the tightest that fits and holds neither bit."""
+    bins, at = [], []
+    for size, source, cluster in items:
+        fits = [k for k, x in enumerate(bins) if x[0] >= size and not (x[1] & source or x[2] & cluster)]
+        k = min(fits, key=lambda k: bins[k][0]) if fits else len(bins)
+        if k == len(bins):
+            bins.append([capacity, 0, 0])
+        bins[k][0] -= size
+        bins[k][1] |= source
+        bins[k][2] |= cluster
+        at.append(bins[k][0])
+    return at, len(bins)
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 50), st.sampled_from([0, 1, 2, 4]), st.sampled_from([0, 1, 2])), max_size=60))
+def test_same_as_looking_at_every_container(items):
+    bins = ResidualBins(50)
+    rooms = []
+    for size, source, cluster in items:
+        rooms.append(bins.room[bins.put(size, (source,) if source else (), cluster)[0]])
+    # Which of several containers with equal room is taken may differ, and with it what follows; without conflicts nothing can.
+    want, count = plain_best_fit(items, 50)
+    if not any(i[1] or i[2] for i in items):
+        assert (rooms, len(bins.room)) == (want, count)
+    assert len(bins.room) <= 2 * count + 1
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 50), st.integers(0, 4), st.integers(0, 3)), min_size=1, max_size=80))
+def test_constraint_holds_whatever_the_labels(items):
+    sizes, sources, clusters = (np.array(x, dtype=np.int64) for x in zip(*items))
+    at = pack(sizes, sources, clusters, 50)
+    needed = max(1, -(-int(sizes.sum()) // 50))
+    room, held = defaultdict(int), defaultdict(list)
+    for (size, source, cluster), (b, place, start) in sorted(zip(items, at.tolist()), key=lambda x: x[1]):
+        assert start == room[b] and place == len(held[b]) + 1
+        room[b] += size
+        held[b].append((source, cluster))
+    assert all(v <= 50 for v in room.values())
+    for b, x in held.items():
+        copies = [c for _, c in x if c]
+        assert len(copies) == len(set(copies))
+        for s in {s for s, _ in x if s}:
+            assert sum(s == y for y, _ in x) <= -(-int((sources == s).sum()) // needed)
+
+
+def test_a_new_container_is_opened_rather_than_a_conflict():
     sizes = np.full(40, 10, dtype=np.int64)
     labels = np.repeat(np.arange(1, 11), 4)
-    at = pack(sizes, np.zeros(40, np.int64), labels, 40)
-    assert at[:, 0].max() + 1 == 10
+    assert pack(sizes, np.zeros(40, np.int64), labels, 40)[:, 0].max() + 1 <= 13
     bins = ResidualBins(100)
-    a = bins.put(50, 1, 0)[0]
-    b = bins.put(60, 0, 0)[0]
-    assert bins.put(40, 1, 0)[0] == b  # the tightest that fits holds the source
-    assert bins.put(30, 1, 0)[0] == a  # no other is open
+    a = bins.put(50, (1,), 0)[0]
+    b = bins.put(60, (), 0)[0]
+    assert bins.put(40, (1,), 0)[0] == b  # the tightest that fits holds the source
+    assert bins.put(30, (1,), 0)[0] not in (a, b)
+    assert pack(sizes, np.zeros(40, np.int64), np.ones(40, np.int64), 40)[:, 0].max() + 1 == 40
+
+
+def test_a_source_of_a_third_costs_hardly_any_room():
+    rng = np.random.default_rng(5)
+    sizes = np.sort(rng.integers(1, 2048, 6000))[::-1]
+    sources = np.where(np.arange(6000) % 3 == 0, 1, rng.integers(2, 900, 6000))
+    used = pack(sizes, sources, np.zeros(6000, np.int64), 2048)[:, 0].max() + 1
+    assert used <= sizes.sum() / 2048 * 1.01 + 1
+
+
+FOLDER = "/root/testdata/sf0.01"
+
+
+@pytest.mark.skipif(not os.path.exists(VOCABULARY) or not os.path.isdir(FOLDER), reason="no vocabulary or tables here")
+def test_no_conflicts_on_documents(spark):
+    from rankweave.llm.queries import p6_ledger
+
+    said = {r.what: r.n for r in p6_ledger(spark, FOLDER).collect()}
+    assert said == {"texts": 1000, "overfull": 0, "copies together": 0, "sources together": 0, "tokens lost": 0}
+    got = pack_texts(spark.read.parquet(f"{FOLDER}/documents.parquet"), "doc_id", "text", "source")
+    r = got.selectExpr("count(distinct container) as used", "sum(n_tokens) / 2048 as bound").first()
+    assert r.used <= r.bound * 1.03 + 2
 
 
 @pytest.mark.skipif(not os.path.exists(VOCABULARY), reason="no vocabulary here")
@@ -74,6 +113,6 @@ def test_operator(spark):
         divided = {r.doc_id for r in got if r.piece > 1}
         assert all(count_tokens(t) > 64 for i, t, *_ in rows if i in divided)
         total = sum(r.n_tokens for r in got)
-        assert len(fill) <= total / 64 * 1.02 + 2 * (4 if shard == 60 else 1)
+        assert len(fill) <= total / 64 * 1.05 + 4 * (4 if shard == 60 else 1)
     assert pack_texts(df.limit(0), "doc_id", "text", "source", 64).count() == 0
     assert fingerprint("A b,  c") == fingerprint("a B c!") != fingerprint("a b d")
