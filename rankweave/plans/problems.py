@@ -15,7 +15,7 @@ COMPARED = ["wins", "kos", "losses", "draws", "previousrank", "weightclass"]
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     """Surplus deliveries of messages that arrived more than once."""
-    return surplus_deliveries(spark, f"{d}/news_entry.parquet").select(F.col("id").alias("delivery_id"))
+    return surplus_deliveries(table(spark, d, "news_entry"), "batch").select(F.col("id").alias("delivery_id"))
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:

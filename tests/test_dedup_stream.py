@@ -1,11 +1,12 @@
 import datetime as dt
 import random
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from rankweave.operators.keyed import attach, newest
-from rankweave.streaming.dedup import SeenStore, dedupe_stream, message_key, surplus_deliveries
-from pyspark.sql import functions as F
+from rankweave.streaming.dedup import ENTRY, SeenStore, dedupe_stream, land, merge_entries, surplus_deliveries
 
 SCHEMA = "delivery_id long, received_at timestamp, url string, headline string, source string, at string, id string"
 
@@ -18,55 +19,80 @@ def brute(rows):
     return {x[2] for v in by.values() for x in sorted(v)[1:]}, {sorted(v)[0][2] for v in by.values()}
 
 
-def write(spark, rows, path, files):
-    for k in range(files):
-        spark.createDataFrame(rows[k::files], SCHEMA).coalesce(1).write.mode("append").parquet(path)
-
-
-@pytest.mark.parametrize("horizon", ["1 hour", "1000 days"])
-def test_batches_late_rows_and_expiry(spark, tmp_path, horizon):
-    rng = random.Random(3)
+def rows_of(n, seed=3):
+    """Deliveries over 2,000 hours with one hot message, undated ones and missing urls."""
+    rng = random.Random(seed)
     day, rows = dt.datetime(2024, 1, 1), []
-    for i in range(400):
-        k = rng.choice([0, 0, 0, rng.randrange(60)])  # one hot message
+    for i in range(n):
+        k = rng.choice([0, 0, 0, rng.randrange(60)])
         at = day + dt.timedelta(hours=rng.randrange(2000)) if rng.random() < 0.95 else None
         url = f"u{k}" if k % 3 else rng.choice([None, ""])
         rows.append((i, at, url, rng.choice(["h", "h2"]) if not url else f"h{i}", rng.choice([None, ""]) if k % 2 else "s", "x", "y"))
+    return rows
+
+
+def stream(spark, store, rows, path, files):
+    """Appends ``rows`` to the folder and runs the stream over what is new there, a file at a time."""
+    df = spark.createDataFrame(rows, SCHEMA)
+    land(df.withColumn("nr", F.monotonically_increasing_id()), ["nr"], files, f"{path}/{len(rows)}")
+    source = store.session.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(path)
+    q = dedupe_stream(source, store, "url", ["headline", "source"], "received_at", "delivery_id")
+    q.awaitTermination()
+    return sum(1 for p in q.recentProgress if p["numInputRows"])
+
+
+@pytest.mark.parametrize("horizon", ["1 hour", "1000 days"])
+def test_batches_late_rows_and_expiry(spark, tmp_path, horizon):
+    rows = rows_of(400)
+    store = SeenStore(spark, f"file://{tmp_path}/store", horizon, stores=2, buckets=2)
     path = str(tmp_path / "in")
-    write(spark, rows, path, 5)
-    root = f"file://{tmp_path}/store"
-    got = surplus_deliveries(spark, path, horizon=horizon, files_per_batch=1, root=root).collect()
+    assert stream(spark, store, rows, path, 4) >= 3
     surplus, kept = brute(rows)
-    assert sorted(r.id for r in got) == sorted(surplus)
-    store = SeenStore(spark, root, horizon)
+    assert sorted(r.id for r in store.surplus().collect()) == sorted(surplus)
     assert {r.id for r in store.kept().collect()} == kept
-    expired = spark.read.parquet(f"{root}/expired").where("seen is not null").count()
-    assert expired > 0 if horizon == "1 hour" else expired == 0
+    told = {r["kind"]: r["count"] for r in store.session.read.parquet(store.output).groupBy("kind").count().collect()}
+    entries = store._entries().groupBy("h1", "h2").count()
+    came_back = entries.where("count > 1").count()
+    if horizon == "1 hour":  # most arrivals are late: identifiers expired, came back, and the lookup joined them
+        assert told["expired"] > len(kept) and came_back > 10
+    else:  # all live but those seen without a time only
+        assert told.get("expired", 0) < 10 and told["surplus"] > 200
     # More files later: the same store goes on where it stopped.
     more = [(1000 + i, r[1], r[2], r[3], r[4], "x", "y") for i, r in enumerate(rows[:50])]
-    write(spark, more, path, 1)
-    dedupe_stream(spark.readStream.schema(SCHEMA).parquet(path), store, "url", ["headline", "source"], "received_at", "delivery_id").awaitTermination()
+    stream(spark, store, more, path, 1)
     assert sorted(r.id for r in store.surplus().collect()) == sorted(brute(rows + more)[0])
 
 
-def test_replayed_batch_changes_nothing(spark, tmp_path):
+def test_one_far_date_expires_nothing(spark, tmp_path):
     day = dt.datetime(2024, 1, 1)
-    df = spark.createDataFrame([(2, day, "u", "h", "s", "", ""), (1, day, "u", "h", "s", "", ""), (1, day, "u", "h", "s", "", "")], SCHEMA)
-    rows = df.select(*message_key("url", ["headline", "source"]), F.col("received_at").alias("at"), F.col("delivery_id").alias("id"))
-    store = SeenStore(spark, f"file://{tmp_path}/store")
-    for v in (0, 0, 1, 1):
-        store.on_batch(rows, v)
-    read = lambda v: sorted(r.id for r in spark.read.parquet(f"{store.root}/surplus/v={v}").collect())
-    assert read(0) == [2] and read(1) == [2]
-
-
-def test_single_file_and_empty(spark, tmp_path):
-    rows = [(1, None, "", "", "", "", ""), (2, None, None, None, None, "", "")]
-    spark.createDataFrame(rows, SCHEMA).coalesce(1).write.parquet(str(tmp_path / "d"))
-    one = next((tmp_path / "d").glob("*.parquet"))
-    assert [r.id for r in surplus_deliveries(spark, str(one)).collect()] == [2]
-    spark.createDataFrame([], SCHEMA).coalesce(1).write.parquet(str(tmp_path / "e"))
-    assert surplus_deliveries(spark, str(tmp_path / "e")).count() == 0
+    rows = [(i, day + dt.timedelta(minutes=i), f"u{i % 20}", "", "", "", "") for i in range(60)] + [(99, dt.datetime(2090, 1, 1), "far", "", "", "", "")]
+    store = SeenStore(spark, f"file://{tmp_path}/store", "1 hour", stores=2, buckets=2)
+    stream(spark, store, rows, str(tmp_path / "in"), 1)
+    assert store.session.read.parquet(store.output).where("kind = 'expired'").count() == 0
+    assert store.surplus().count() == 40
+
+
+def test_replay_of_a_table(spark, tmp_path):
+    rows = rows_of(300, 5)
+    df = spark.createDataFrame(rows, SCHEMA).withColumn("batch", F.floor(F.col("delivery_id") / 30))
+    assert sorted(r.id for r in surplus_deliveries(df, "batch", horizon="3 days", files_per_batch=3).collect()) == sorted(brute(rows)[0])
+    two = spark.createDataFrame([(1, None, "", "", "", "", ""), (2, None, None, None, None, "", ""), (2, None, None, None, None, "", "")], SCHEMA)
+    assert [r.id for r in surplus_deliveries(two.withColumn("batch", F.lit(None).cast("int")), "batch").collect()] == [2]
+    assert surplus_deliveries(df.limit(0), "batch").count() == 0
+
+
+def test_entries_merge_as_a_dictionary_would():
+    rng = random.Random(7)
+    held, state, lost = np.empty(0, ENTRY), {}, []
+    for _ in range(30):
+        rows = [(rng.randrange(9), rng.randrange(2), rng.randrange(50), rng.randrange(500)) for _ in range(rng.randrange(12))]
+        part = np.array([(*r, r[2]) for r in rows], dtype=ENTRY)
+        held, surplus = merge_entries(held, part)
+        lost += surplus["id"].tolist()
+        for h1, h2, at, id in rows:
+            state.setdefault((h1, h2), []).append((at, id))
+    assert [(e["h1"], e["h2"], e["at"], e["id"], e["seen"]) for e in held] == [(*k, *min(v), max(x[0] for x in v)) for k, v in sorted(state.items())]
+    assert set(lost) == {x[1] for v in state.values() for x in set(v) - {min(v)}}
 
 
 def test_attach_and_newest(spark):
