@@ -55,6 +55,12 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with its file system, as tasks need it that don't go through Spark to read it."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(p).toString()
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Deletes a folder that a job of its own made in the shared folder."""
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
