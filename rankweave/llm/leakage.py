@@ -1,29 +1,34 @@
 """Passages of held-out items inside a corpus, found with an FM-index per shard.
 
 Each task cuts its stream of texts into shards of a bounded number of words and
-builds for each an FM-index: suffix array, Burrows-Wheeler transform in a
-wavelet matrix, sampled suffix positions. All test phrases (every run of
-``min_words`` words of every item) are searched backward at once, their
-occurrences located by walking to sampled positions, and overlapping
-occurrences merged into spans. Nothing is shuffled but the found pairs.
-
-The alphabet is the items' vocabulary. A word outside it can't be part of a
-match and stands in the index as a separator; separators differ from each
-other, so no suffix comparison runs past one.
+builds for each an FM-index over the shard's own words: suffix array,
+Burrows-Wheeler transform in a wavelet matrix, sampled suffix positions. Test
+phrases (every run of ``min_words`` words of every item) are searched backward
+together, their occurrences located by walking to sampled positions, and
+overlapping occurrences merged into spans.
+
+Items come in passes of a bounded number of words, written once to the shared
+folder and read by the tasks, so the driver never holds them. The index knows
+nothing of the items: one scan of the corpus builds each index once and searches
+all passes in it. Nothing is shuffled but the found spans.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
-from itertools import islice, repeat
+import uuid
+from collections import defaultdict
+from collections.abc import Callable, Iterable, Iterator
+from itertools import count
 
 import numpy as np
 import pandas as pd
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankweave.session import spread
+from rankweave.session import checkpointed, qualified, remove, shared_dir, spread
 
 _WORD = re.compile(r"[^\W_]+")
 # Characters that take no room, which a reader doesn't see inside a word.
@@ -177,84 +182,154 @@ class FMIndex:
         return self.samples[self.sample_rank[at]] + steps
 
 
-class Phrases:
-    """Every run of ``length`` words of the items, once, with the items and places it comes from."""
+class Pass:
+    """Some of the items: their different words, and every item as numbers of those, one after the other."""
+
+    def __init__(self, vocabulary: list[str], seq: np.ndarray, lengths: np.ndarray, ids: np.ndarray):
+        self.vocabulary, self.seq, self.ids, self.lengths = vocabulary, seq, ids, lengths
+        self.item = np.repeat(np.arange(len(ids)), lengths)
+        self.left = np.cumsum(lengths)[self.item] - np.arange(len(seq)) if len(seq) else seq
+
+    @staticmethod
+    def of(items: list[tuple[int, str]]) -> Pass:
+        number: defaultdict[str, int] = defaultdict(count().__next__)
+        seqs = [np.fromiter(map(number.__getitem__, w), np.int32, len(w)) for w in (words(t or "") for _, t in items)]
+        return Pass(list(number), np.concatenate(seqs) if seqs else np.empty(0, np.int32), np.array([len(x) for x in seqs], np.int64), np.array([i for i, _ in items], np.int64))
+
+    def phrases(self, numbers: dict[str, int], length: int, block: int = 200_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """``(phrases, item numbers)`` in blocks of whole items: the runs of ``length`` words all of which ``numbers`` has, written in its numbers."""
+        get = numbers.get
+        seq = np.fromiter((get(w, 0) for w in self.vocabulary), np.int64, len(self.vocabulary))[self.seq]
+        known = np.r_[0, np.cumsum(seq > 0)]
+        at = np.flatnonzero(self.left >= length)
+        at = at[known[at + length] - known[at] == length]
+        for part in _whole(self.item[at], np.ones(len(at), np.int64), block):
+            some = at[part]
+            yield seq[some[:, None] + np.arange(length)], self.item[some]
+
+
+def _whole(item: np.ndarray, weight: np.ndarray, most: int) -> Iterator[slice]:
+    """Slices of rows in order of item that never part an item and weigh little more than ``most``."""
+    ends = np.flatnonzero(np.r_[item[1:] != item[:-1], True]) + 1 if len(item) else np.empty(0, np.int64)
+    total, begin = np.cumsum(weight), 0
+    while begin < len(item):
+        reach = np.searchsorted(total, (total[begin - 1] if begin else 0) + most, side="right")
+        end = int(ends[min(np.searchsorted(ends, max(int(reach), begin + 1)), len(ends) - 1)])
+        yield slice(begin, end)
+        begin = end
+
+
+def _located(index: FMIndex, phrases: np.ndarray, of: np.ndarray, block: int = 2_000_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """``(positions, items)`` of every occurrence of the phrases, in blocks of whole items."""
+    begin, end = index.search(phrases)
+    hit = np.flatnonzero(begin < end)
+    hit = hit[np.unique(np.stack([of[hit], begin[hit]]), axis=1, return_index=True)[1]] if len(hit) else hit  # a phrase twice in an item
+    times = end[hit] - begin[hit]
+    for part in _whole(of[hit], times, block):
+        some, n = hit[part], times[part]
+        at = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(begin[some], n)
+        yield index.locate(at), np.repeat(of[some], n)
 
-    def __init__(self, items: list[tuple[int, str]], length: int):
-        self.length = length
-        self.ids: dict[str, int] = {}
-        rows: dict[tuple[int, ...], list[int]] = {}
-        for item, text in items:
-            seq = [self.ids.setdefault(w, len(self.ids) + 1) for w in words(text or "")]
-            for k in range(len(seq) - length + 1):
-                rows.setdefault(tuple(seq[k : k + length]), []).append(item)
-        self.table = np.array(list(rows), dtype=np.int64).reshape(len(rows), length)
-        self.items = [sorted(set(x)) for x in rows.values()]
 
+def _merged(doc: np.ndarray, item: np.ndarray, first: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Occurrences of an item in a document joined where they touch or overlap."""
+    order = np.lexsort((first, item, doc))
+    doc, item, first = doc[order], item[order], first[order]
+    new = np.r_[True, (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (first[1:] > first[:-1] + length)] if len(doc) else np.empty(0, bool)
+    begin = np.flatnonzero(new)
+    return doc[begin], item[begin], first[begin], np.r_[first[begin[1:] - 1], first[-1:]] + length
 
-def _spans(index: FMIndex, phrases: Phrases) -> Iterator[tuple[int, int]]:
-    """``(position, phrase)`` of every occurrence."""
-    begin, end = index.search(phrases.table)
-    hit = np.flatnonzero(begin < end)
-    if len(hit):
-        times = end[hit] - begin[hit]
-        which = np.repeat(hit, times)
-        at = np.arange(len(which)) - np.repeat(np.cumsum(times) - times, times) + np.repeat(begin[hit], times)
-        yield from zip(index.locate(at).tolist(), which.tolist())
 
+def scan_shards(docs: Iterator[tuple[object, str]], passes: Callable[[], Iterable[Pass]], length: int, shard_words: int) -> Iterator[pd.DataFrame]:
+    """Frames of ``doc_key, item_key, first_word, end_word``; spans of one item in one text are merged.
 
-def scan_shards(docs: Iterator[tuple[object, str]], phrases: Phrases, shard_words: int) -> Iterator[tuple[object, int, int, int]]:
-    """``(doc, item, first_word, end_word)``, spans of one item in one text merged where they touch or overlap."""
-    ids, length = phrases.ids.get, phrases.length
+    An index is searched for all passes before the next is built. What is held
+    is one shard, one pass and the occurrences of a block of its items.
+    """
+    number: defaultdict[str, int] = defaultdict(count(1).__next__)
     parts: list[np.ndarray] = []
     begins: list[tuple[int, object, int]] = []  # place in the shard, document, word of the document
     filled = 0
 
-    def flush() -> Iterator[tuple[object, int, int]]:
+    def flush() -> Iterator[pd.DataFrame]:
         nonlocal filled
         if filled:
-            index = FMIndex(np.concatenate(parts), len(phrases.ids) + 1)
+            index = FMIndex(np.concatenate(parts), len(number) + 1)
             place = np.array([b[0] for b in begins])
-            for at, which in _spans(index, phrases):
-                b = begins[int(np.searchsorted(place, at, side="right")) - 1]
-                first = at - b[0] + b[2]
-                for item in phrases.items[which]:
-                    yield b[1], item, first
+            skip = np.array([b[2] for b in begins])
+            for one in passes():
+                for phrases, of in one.phrases(number, length):
+                    for at, item in _located(index, phrases, of):
+                        piece = np.searchsorted(place, at, side="right") - 1
+                        piece, item, first, stop = _merged(piece, item, at - place[piece] + skip[piece], length)
+                        yield pd.DataFrame({
+                            "doc_key": pd.array([begins[k][1] for k in piece.tolist()], dtype=object), "item_key": one.ids[item],
+                            "first_word": first.astype(np.int64), "end_word": stop.astype(np.int64),
+                        })
         parts.clear()
         begins.clear()
+        number.clear()
+        number.default_factory = count(1).__next__
         filled = 0
 
-    def merged(found: Iterator[tuple[object, int, int]]) -> Iterator[tuple[object, int, int, int]]:
-        by: dict[tuple[object, int], list[int]] = {}
-        for doc, item, first in found:
-            by.setdefault((doc, item), []).append(first)
-        for (doc, item), firsts in by.items():
-            firsts.sort()
-            start, stop = firsts[0], firsts[0] + length
-            for f in firsts[1:]:
-                if f > stop:
-                    yield doc, item, start, stop
-                    start = f
-                stop = max(stop, f + length)
-            yield doc, item, start, stop
-
     for doc, text in docs:
         found = words(text)
         if len(found) < length:
             continue
-        seq = np.fromiter(map(ids, found, repeat(0)), dtype=np.int32, count=len(found))
         step = shard_words - length + 1
-        for k in range(0, max(1, len(seq) - length + 1), step):  # a text longer than a shard is cut with overlap
-            piece = seq[k : k + shard_words]
+        for k in range(0, max(1, len(found) - length + 1), step):  # a text longer than a shard is cut with overlap
+            piece = found[k : k + shard_words]
             begins.append((filled, doc, k))
-            parts += [piece, np.zeros(1, np.int32)]
+            parts += [np.fromiter(map(number.__getitem__, piece), np.int32, len(piece)), np.zeros(1, np.int32)]
             filled += len(piece) + 1
             if filled >= shard_words:
-                yield from merged(flush())
-    yield from merged(flush())
+                yield from flush()
+    yield from flush()
+
 
+def _file_system(path: str):
+    """The file system of a qualified path, for tasks, and the path in it."""
+    if path.startswith("file:"):
+        return fs.LocalFileSystem(), "/" + path[5:].lstrip("/")
+    return fs.FileSystem.from_uri(path.replace("s3a://", "s3://", 1))
 
-#: Items with more words than this are searched in several passes over the corpus.
+
+_last: dict[tuple[str, int], Pass] = {}
+
+
+def read_passes(path: str) -> Iterator[Pass]:
+    """The passes in a folder, one at a time; the last one read is kept, so a single pass is read once a worker."""
+    system, at = _file_system(path)
+    for info in sorted(system.get_file_info(fs.FileSelector(at)), key=lambda x: x.path):
+        if not info.path.endswith(".parquet"):
+            continue
+        groups = (path, info.path)
+        with system.open_input_file(info.path) as f:
+            table = pq.ParquetFile(f)
+            for k in range(table.num_row_groups):
+                if (groups, k) not in _last:
+                    row = table.read_row_group(k).to_pylist()[0]
+                    _last.clear()
+                    _last[groups, k] = Pass(row["vocabulary"], np.frombuffer(row["seq"], np.int32), np.frombuffer(row["lengths"], np.int64), np.frombuffer(row["ids"], np.int64))
+                yield _last[groups, k]
+
+
+def write_passes(items: DataFrame, path: str, pass_words: int) -> int:
+    """Writes ``(id, t)`` rows as passes of about ``pass_words`` words, a file each; the number of passes."""
+    n_words = items.agg(F.sum(F.size(F.split("t", r"\s+")))).first()[0] or 0
+    passes = max(1, -(-n_words // pass_words))
+
+    def build(group: pd.DataFrame) -> pd.DataFrame:
+        one = Pass.of(sorted(zip(group["id"].tolist(), group["t"])))
+        return pd.DataFrame({"vocabulary": [one.vocabulary], "seq": [one.seq.tobytes()], "lengths": [one.lengths.tobytes()], "ids": [one.ids.tobytes()]})
+
+    rows = items.withColumn("pass", F.pmod(F.xxhash64("id", "t"), F.lit(passes)))
+    built = rows.groupBy("pass").applyInPandas(build, "vocabulary array<string>, seq binary, lengths binary, ids binary")
+    built.write.option("maxRecordsPerFile", 1).parquet(path)
+    return passes
+
+
+#: Items are read in passes of so many words; a pass is what a task holds of them at a time.
 PASS_WORDS = 2_000_000
 
 
@@ -262,39 +337,29 @@ def leaked_passages(
     docs: DataFrame, items: DataFrame, doc: str, text: str, item: str, item_text: str, min_words: int = 12,
     shard_words: int = 500_000, pass_words: int = PASS_WORDS,
 ) -> DataFrame:
-    """``(doc, item, first_word, end_word)``: each span of a text that an item's words fill, ``min_words`` at least.
+    """``(doc_id, item_id, first_word, end_word)``: each span of a text that an item's words fill, ``min_words`` at least.
 
     Words count from 0; ``end_word`` is the one after the last. A text longer
-    than a shard may give touching spans. Items are read by the driver in
-    passes of at most ``pass_words`` words, each a scan of the whole corpus, so
-    what is sent to the tasks is bounded however many items there are.
+    than a shard may give touching spans. Passes of items lie in the shared
+    folder until the spans, which are few, are written there; then they are
+    removed. Executors reach that folder through Arrow's file systems.
 
     Defined cases: null and empty texts hold nothing; items of fewer than
     ``min_words`` words reveal nothing; texts and items that repeat give a row
     per repeat of the text and one per item; an empty corpus or no items give
     no rows; other columns are ignored, whatever their names.
     """
-    asked = items.select(F.col(item).cast("long").alias("id"), F.col(item_text).alias("t")).where("id is not null and t is not null")
-    n_words = asked.agg(F.sum(F.size(F.split("t", r"\s+")))).first()[0] or 0
-    passes = max(1, -(-n_words // pass_words))
-    out = None
+    spark = docs.sparkSession
+    asked = items.select(F.col(item).cast("long").alias("id"), F.col(item_text).alias("t")).where("id is not null and t is not null").distinct()
+    folder = qualified(spark, f"{shared_dir(spark)}/passes-{uuid.uuid4().hex}")
+    write_passes(asked, folder, pass_words)
     rows = docs.select(F.col(doc).cast("long").cast("string").alias("doc_key"), F.col(text).alias("t")).where("t is not null and t != ''")
-    rows = spread(rows, "doc_key")
-    for p in range(passes):
-        block = asked.where(F.pmod(F.xxhash64("id"), F.lit(passes)) == p)
-        phrases = Phrases(sorted((r["id"], r["t"]) for r in block.collect()), min_words)
-
-        def scan(batches: Iterator[pd.DataFrame], phrases: Phrases = phrases) -> Iterator[pd.DataFrame]:
-            if not len(phrases.table):
-                return
-            texts = ((k, t) for b in batches for k, t in zip(b["doc_key"], b["t"]))
-            found = scan_shards(texts, phrases, shard_words)
-            while got := list(islice(found, 50_000)):
-                yield pd.DataFrame({
-                    "doc_key": pd.array([g[0] for g in got], dtype=object), "item_key": [g[1] for g in got],
-                    "first_word": [g[2] for g in got], "end_word": [g[3] for g in got],
-                }).astype({"item_key": "int64", "first_word": "int64", "end_word": "int64"})
-
-        one = rows.mapInPandas(scan, "doc_key string, item_key long, first_word long, end_word long")
-        out = one if out is None else out.unionByName(one)
-    return out.select(F.col("doc_key").cast("long").alias("doc_id"), F.col("item_key").alias("item_id"), "first_word", "end_word")
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        texts = ((k, t) for b in batches for k, t in zip(b["doc_key"], b["t"]))
+        yield from scan_shards(texts, lambda: read_passes(folder), min_words, shard_words)
+
+    found = spread(rows, "doc_key").mapInPandas(scan, "doc_key string, item_key long, first_word long, end_word long")
+    found = checkpointed(found.select(F.col("doc_key").cast("long").alias("doc_id"), F.col("item_key").alias("item_id"), "first_word", "end_word"))
+    remove(spark, folder)
+    return found

@@ -100,13 +100,19 @@ select 'texts' as what, count(*) as n from documents
 union all select unnest(['overfull', 'copies together', 'sources together', 'tokens lost']), 0
 """
 
-_P7 = r"""
+_P7_CTE = r"""
 with d as (select doc_id, regexp_extract_all(lower(regexp_replace(text, '[\x{AD}\x{200B}-\x{200D}\x{2060}\x{FEFF}]', '', 'g')), '[\pL\pN]+') as w from documents),
 e as (select item_id, regexp_extract_all(lower(text), '[\pL\pN]+') as w from eval_items),
 dp as (select doc_id, w, unnest(range(1, len(w) - 10)) as k from d where len(w) >= 12),
 ep as (select item_id, w, unnest(range(1, len(w) - 10)) as k from e where len(w) >= 12),
-ph as (select distinct item_id, array_to_string(w[k:k+11], ' ') as p from ep)
-select distinct doc_id, item_id from (select doc_id, array_to_string(w[k:k+11], ' ') as p from dp) join ph using (p)
+ph as (select distinct item_id, array_to_string(w[k:k+11], ' ') as p from ep),
+hit as (select distinct doc_id, item_id, k - 1 as first from (select doc_id, k, array_to_string(w[k:k+11], ' ') as p from dp) join ph using (p))
+"""
+_P7 = f"{_P7_CTE} select distinct doc_id, item_id from hit"
+_SPANS = f"""{_P7_CTE},
+gap as (select *, case when first <= lag(first) over (partition by doc_id, item_id order by first) + 12 then 0 else 1 end as fresh from hit),
+run as (select *, sum(fresh) over (partition by doc_id, item_id order by first) as nr from gap)
+select doc_id, item_id, min(first) as first_word, max(first) + 12 as end_word from run group by doc_id, item_id, nr
 """
 
 
@@ -126,4 +132,4 @@ select x.doc_id as doc_a, y.doc_id as doc_b from f x join f y on x.form = y.form
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p2_found": _P2, "p6_ledger": _P6, "p7_found": _P7, "p8_found": _p8()}
+    return {"p2_found": _P2, "p6_ledger": _P6, "p7_found": _P7, "p7_spans": _SPANS, "p8_found": _p8()}

@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pytest
 
-from rankweave.llm.leakage import FMIndex, Phrases, WaveletMatrix, leaked_passages, scan_shards, suffix_array, words
+from rankweave.llm.leakage import FMIndex, Pass, WaveletMatrix, _located, leaked_passages, scan_shards, suffix_array, words, write_passes
 
 
 @pytest.mark.parametrize("seed", range(40))
@@ -39,7 +39,8 @@ def test_shards_and_spans_against_scan():
     items = [(k, " ".join(rng.choice("abcdefgh") for _ in range(rng.randrange(2, 12)))) for k in range(12)] + [(99, None), (98, "")]
     docs = [(k, " ".join(rng.choice("abcdefghxyz") for _ in range(rng.randrange(60)))) for k in range(60)] + [(7, "a b c d " * 200)]
     for shard in (10, 37, 10_000):
-        got = list(scan_shards(iter(docs), Phrases(items, 4), shard))
+        passes = [Pass.of(items[k::3]) for k in range(3)]
+        got = [tuple(x) for f in scan_shards(iter(docs), lambda: passes, 4, shard) for x in f.itertuples(index=False)]
         want = set()
         for d, t in docs:
             w = t.split()
@@ -63,3 +64,29 @@ def test_operator(spark):
         assert got == {(1, 10, 1, 13), (1, 11, 1, 13), (5, 10, 30000, 30013), (5, 11, 30000, 30013), (None, 10, 0, 13), (None, 11, 0, 13)}
     assert leaked_passages(df.limit(0), items, "doc_id", "text", "item_id", "text").count() == 0
     assert leaked_passages(df, items.limit(0), "doc_id", "text", "item_id", "text").count() == 0
+
+
+def test_a_phrase_of_many_items_comes_in_blocks():
+    seq = np.array([1, 2, 3, 1, 2, 3, 0], dtype=np.int32)
+    index = FMIndex(seq, 4)
+    phrases, of = np.tile([[1, 2]], (50, 1)), np.repeat(np.arange(25), 2)
+    blocks = list(_located(index, phrases, of, block=8))
+    assert len(blocks) > 5 and all(len(at) <= 10 for at, _ in blocks)
+    assert sorted((i, a) for at, it in blocks for a, i in zip(at.tolist(), it.tolist())) == [(i, a) for i in range(25) for a in (0, 3)]
+
+
+def test_driver_holds_no_items_however_many_passes(spark, tmp_path):
+    import tracemalloc
+
+    items = spark.range(4000).selectExpr("id", "concat('w', id, ' ', repeat(concat('x', id % 97, ' y', id, ' '), 20)) as t")
+    tracemalloc.start()
+    peaks = []
+    for k, words_ in enumerate((10**9, 8_200)):
+        tracemalloc.reset_peak()
+        n = write_passes(items, str(tmp_path / str(k)), words_)
+        peaks.append((n, tracemalloc.get_traced_memory()[1]))
+    tracemalloc.stop()
+    assert peaks[0][0] == 1 and peaks[1][0] >= 20 and abs(peaks[1][1] - peaks[0][1]) < 1_000_000
+    docs = items.selectExpr("id", "concat('a b c ', t) as text")
+    found = {n: leaked_passages(docs, items, "id", "text", "id", "t", 12, 5000, n) for n in (10**9, 8_200)}
+    assert found[10**9].count() == 4000 and found[10**9].exceptAll(found[8_200]).count() == 0
