@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from rankweave.llm.canon import map_to_list
 from rankweave.llm.leakage import leaked_passages
-from rankweave.llm.lookalike import SHAPES, consistent_text, look_alike_classes, look_alike_pairs
+from rankweave.llm.lookalike import consistent_text, look_alike_classes, look_alike_links, look_alike_pairs
 from rankweave.llm.packing import ledger, pack_texts, token_counts
 from rankweave.llm.topn import top_n
 from rankweave.operators.keyed import missing, newest
@@ -78,13 +78,18 @@ def p8_classes(spark: SparkSession, d: str) -> DataFrame:
     return look_alike_classes(table(spark, d, "documents"), "doc_id", "text").withColumnRenamed("id", "doc_id")
 
 
+def p8_links(spark: SparkSession, d: str) -> DataFrame:
+    """Each class of texts that look the same with the first text of every other way it is stored."""
+    return look_alike_links(table(spark, d, "documents"), "doc_id", "text")
+
+
 def p8_forms(spark: SparkSession, d: str) -> DataFrame:
     """Every document's text in its one consistent form."""
     return consistent_text(table(spark, d, "documents").select("doc_id", "text"), "text", "form").select("doc_id", "form")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_misses, p2_found, p6_containers, p6_ledger, p7_found, p7_spans, p8_found, p8_classes, p8_forms)}
+    return {f.__name__: f for f in (p1_found, p1_misses, p2_found, p6_containers, p6_ledger, p7_found, p7_spans, p8_found, p8_classes, p8_links, p8_forms)}
 
 
 _P2 = """
@@ -116,20 +121,22 @@ select doc_id, item_id, min(first) as first_word, max(first) + 12 as end_word fr
 """
 
 
-def _p8() -> str:
-    """Width, space, shape and unseen characters by translate, accents by the database's own composition."""
-    wide = {chr(c): chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)}
-    spaces = {chr(c): " " for c in (0xA0, *range(0x2000, 0x200B), 0x202F, 0x205F, 0x3000)}
-    accented = {"ё": "ë", "Ё": "Ë", "ї": "ï", "Ї": "Ï", "ѐ": "è", "Ѐ": "È"}
-    pairs = {**{a: b for a, b in SHAPES.items()}, **wide, **spaces, **accented}
-    quote = lambda s: s.replace("'", "''")
-    a, b = quote("".join(pairs)), quote("".join(pairs.values()))
-    unseen = r"[\x{AD}\x{200B}-\x{200D}\x{2060}\x{FEFF}]"
-    return f"""
-with f as (select doc_id, text, nfc_normalize(translate(regexp_replace(text, '{unseen}', '', 'g'), '{a}', '{b}')) as form from documents where text is not null)
-select x.doc_id as doc_a, y.doc_id as doc_b from f x join f y on x.form = y.form where x.doc_id < y.doc_id and x.text <> y.text
+# Fixed values of the SQL, stated apart from the operator's: what stands for what in the tables' scripts. Accents are the database's own composition.
+_FROM = "АВЕЅІЈКМНОРСТУХЬаеѕіјорсухԁһΑΒΕΖΗΙΚΜΝΟΡΤΥΧονёЁїЇѐЀ\u2010\u2011\u2212\u00a0\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
+_TO = "ABESIJKMHOPCTYXbaesijopcyxdhABEZHIKMNOPTYXovëËïÏèÈ---" + " " * 15
+_WIDE = "".join(map(chr, range(0xFF01, 0xFF5F))), "".join(map(chr, range(0x21, 0x7F)))
+_FORMS = rf"""
+with f as (select doc_id, text, nfc_normalize(translate(regexp_replace(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)),
+  '[\x{{AD}}\x{{200B}}-\x{{200F}}\x{{202A}}-\x{{202E}}\x{{2060}}-\x{{206F}}\x{{FE00}}-\x{{FE0F}}\x{{FEFF}}]', '', 'g'),
+  '{_FROM}{_WIDE[0].replace("'", "''")}', '{_TO}{_WIDE[1].replace("'", "''")}')) as form from documents)
 """
+_P8 = f"{_FORMS} select x.doc_id as doc_a, y.doc_id as doc_b from f x join f y on x.form = y.form where x.doc_id < y.doc_id and x.text <> y.text"
+_CLASSES = f"""{_FORMS}, c as (select form, min(doc_id) as class_id, count(*) as members, count(distinct text) as variants from f where form is not null group by form)
+select doc_id, class_id, members, variants from f join c using (form)"""
+_LINKS = f"""{_FORMS}, v as (select form, text, min(doc_id) as variant_id, count(*) as copies from f where form is not null group by form, text),
+w as (select *, min(variant_id) over (partition by form) as class_id from v)
+select class_id, variant_id, copies from w where variant_id <> class_id"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p2_found": _P2, "p6_ledger": _P6, "p7_found": _P7, "p7_spans": _SPANS, "p8_found": _p8()}
+    return {"p2_found": _P2, "p6_ledger": _P6, "p7_found": _P7, "p7_spans": _SPANS, "p8_found": _P8, "p8_classes": _CLASSES, "p8_links": _LINKS, "p8_forms": f"{_FORMS} select doc_id, form from f"}
