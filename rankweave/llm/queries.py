@@ -21,7 +21,7 @@ def _typed(spark: SparkSession, d: str) -> DataFrame:
         "nationality": table(spark, d, "country_dim").select("ord", "country"),
         "weightclass": table(spark, d, "weight_dim").select("ord", "weight_class"),
     }
-    return map_to_list(table(spark, d, "fighter_records"), "rec_id", lists, table(spark, d, "alias_dim"))
+    return map_to_list(table(spark, d, "fighter_records"), "rec_id", lists, table(spark, d, "alias_dim"), places=("nationality",))
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -34,6 +34,22 @@ def p1_misses(spark: SparkSession, d: str) -> DataFrame:
     return _typed(spark, d).where("canon_ord = 0").groupBy("field", "value").agg(F.count("*").alias("n_rows"))
 
 
+def p1_listed(spark: SparkSession, d: str) -> DataFrame:
+    """Values written like an entry or alias but for case and blanks around it, and the entry they were mapped to."""
+    lists = table(spark, d, "alias_dim").select("field", "alias").unionByName(
+        table(spark, d, "country_dim").select(F.lit("nationality").alias("field"), F.col("country").alias("alias"))
+    ).unionByName(table(spark, d, "weight_dim").select(F.lit("weightclass").alias("field"), F.col("weight_class").alias("alias")))
+    known = lists.select("field", F.lower("alias").alias("low")).distinct()
+    rows = _typed(spark, d).withColumn("low", F.lower(F.trim("value"))).join(F.broadcast(known), ["field", "low"], "left_semi")
+    return rows.select("rec_id", "field", "canon_ord").distinct()
+
+
+def p1_wordless(spark: SparkSession, d: str) -> DataFrame:
+    """Values of digits, signs and weight units only: how often each was mapped to an entry or reported as a miss."""
+    rows = _typed(spark, d).where(F.col("value").rlike(r"(?i)^([^\p{L}]|kg|lbs?|pounds?)+$"))
+    return rows.groupBy("field", "value").agg(F.count_if(F.col("canon_ord") == 0).alias("missed"), F.count_if(F.col("canon_ord") != 0).alias("mapped"))
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     """The first three entries of every category, weight class and gender."""
     names = ["entry_id", "lastupdated", "wins", "kos", "losses", "category", "weightclass", "gender"]
@@ -89,9 +105,21 @@ def p8_forms(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_misses, p2_found, p6_containers, p6_ledger, p7_found, p7_spans, p8_found, p8_classes, p8_links, p8_forms)}
+    return {f.__name__: f for f in (p1_found, p1_misses, p1_listed, p1_wordless, p2_found, p6_containers, p6_ledger, p7_found, p7_spans, p8_found, p8_classes, p8_links, p8_forms)}
 
 
+_LISTED = """
+with k as (select field, lower(alias) as low, canon_ord as ord, 1 as kind from alias_dim
+  union all select 'nationality', lower(country), ord, 0 from country_dim union all select 'weightclass', lower(weight_class), ord, 0 from weight_dim),
+o as (select field, low, arg_min(ord, kind) as ord from k group by field, low),
+v as (select rec_id, 'nationality' as field, lower(trim(nationality, ' ')) as low from fighter_records union all select rec_id, 'weightclass', lower(trim(weightclass, ' ')) from fighter_records)
+select distinct rec_id, field, cast(ord as bigint) as canon_ord from v join o using (field, low)
+"""
+_WORDLESS = r"""
+with v as (select 'nationality' as field, nationality as value from fighter_records union all select 'weightclass', weightclass from fighter_records)
+select field, value, count(*) as missed, 0 as mapped from v where value <> '' and regexp_matches(value, '(?i)^([^\pL]|kg|lbs?|pounds?)+$') group by field, value
+"""
+
 _P2 = """
 with latest as (select * from (select *, row_number() over (partition by entry_id order by lastupdated desc) as rn from category_records) where rn = 1)
 select entry_id from (
@@ -139,4 +167,4 @@ select class_id, variant_id, copies from w where variant_id <> class_id"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p2_found": _P2, "p6_ledger": _P6, "p7_found": _P7, "p7_spans": _SPANS, "p8_found": _P8, "p8_classes": _CLASSES, "p8_links": _LINKS, "p8_forms": f"{_FORMS} select doc_id, form from f"}
+    return {"p1_listed": _LISTED, "p1_wordless": _WORDLESS, "p2_found": _P2, "p6_ledger": _P6, "p7_found": _P7, "p7_spans": _SPANS, "p8_found": _P8, "p8_classes": _CLASSES, "p8_links": _LINKS, "p8_forms": f"{_FORMS} select doc_id, form from f"}

@@ -3,7 +3,7 @@ import random
 
 import pytest
 
-from rankweave.llm.canon import Reference, deletions, distance, fold, map_to_list
+from rankweave.llm.canon import Reference, deletions, distance, fold, map_to_list, peoples
 
 COUNTRIES = [(1, "Brazil"), (2, "São Tomé and Príncipe"), (3, "United States"), (4, "Mali"), (5, "Malta"), (6, "Norway")]
 ALIASES = [("Brazilian", 1), ("USA", 3), ("U.S.", 3), ("American", 3), ("Malian", 4)]
@@ -67,3 +67,32 @@ def test_operator(spark):
     none = {"nationality": lists["nationality"].limit(0)}
     assert {r.canon_ord for r in map_to_list(df, "rec_id", none, aliases.limit(0)).collect()} == {0}
     assert map_to_list(df.limit(0), "rec_id", lists, aliases).count() == 0
+
+
+@pytest.mark.parametrize("place, people", [
+    ("Panama", "Panamanian"), ("Venezuela", "Venezuelan"), ("Peru", "Peruvian"), ("Hungary", "Hungarian"), ("Morocco", "Moroccan"), ("Scot", "Scottish"), ("England", "English"),
+    ("Slovenia", "Slovene"), ("New Zealand", "New Zealander"), ("Trinidad and Tobago", "Trinidadian"), ("Dominican Republic", "Dominican"), ("Costa Rica", "Costa Rican"), ("Dutch", "Dutchman"),
+])
+def test_people_by_rule(place, people):
+    assert fold(people) in peoples(place)
+    assert Reference([(7, place)], [], {}, True).lookup(people) == 7 or fold(people) == fold(place)
+
+
+def test_derived_forms_give_way_to_listed_ones():
+    r = Reference([(1, "Niger"), (2, "Nigeria")], [("Nigerian", 2), ("Nigerien", 1), ("RSA", 1)], {}, True)
+    assert r.lookup("Nigerian") == 2 and r.lookup("nigerien") == 1 and "rsaian" not in r.derived
+    assert not set(r.derived) & set(r.exact)
+
+
+def test_large_lists_are_joined_to_the_same_rows(spark):
+    rng = random.Random(8)
+    typed = [x for x, _ in [("brazil", 1), ("Brzil", 1), ("Barzilian", 1), ("from Brazil", 1), ("Recife, Brazil", 1), ("usa", 3), ("us", 3), ("none", 0), ("?", 0), ("254 lbs", 0), ("Mali", 4), ("Malt", 4), ("Norwayan", 6), ("Norwayn", 6)]]
+    for name, _ in ALIASES + [(n, o) for o, n in COUNTRIES]:
+        for _ in range(6):
+            k = rng.randrange(len(name))
+            typed.append(name[:k] + rng.choice("aeioux") + name[k + rng.randrange(2):])
+    df = spark.createDataFrame([(i, v) for i, v in enumerate([*typed, None, "", *["Mali"] * 30])], "rec_id long, nationality string")
+    lists = {"nationality": spark.createDataFrame(COUNTRIES, "ord int, country string")}
+    aliases = spark.createDataFrame([("nationality", a, o) for a, o in ALIASES], "field string, alias string, canon_ord int")
+    small, large = ({tuple(r) for r in map_to_list(df, "rec_id", lists, aliases, ("nationality",), n).collect()} for n in (1000, 3))
+    assert small == large and len(small) == len(typed) + 30
