@@ -151,8 +151,8 @@ def quality_wins(text: Column) -> Column:
 
 
 def leading_int(value: Column) -> Column:
-    """The integer a text begins with, null if none."""
-    return F.nullif(F.regexp_extract(value, rf"^[{WS}]*([+-]?\d{{1,18}})", 1), F.lit("")).try_cast("long")
+    """The integer a text begins with, null if none or beyond 64 bits."""
+    return F.nullif(F.regexp_extract(value, rf"^[{WS}]*([+-]?\d+)", 1), F.lit("")).try_cast("long")
 
 
 def _weight_param(lines: Column) -> Column:

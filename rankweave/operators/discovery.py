@@ -1,4 +1,10 @@
-"""Entities found in a category graph of edges ``(parent, child, kind)``, by joins of bounded depth."""
+"""Entities found in a category graph of edges ``(parent, child, kind)``, by joins of bounded depth.
+
+Every level reads the edges again, so they should be a table or checkpointed,
+not a plan that is costly to run. What is expanded is at category level and
+mostly small enough to be sent to the edges; a category with a large part of all
+pages is never brought to one task (see ``keyed.meet``).
+"""
 
 from __future__ import annotations
 
@@ -7,6 +13,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rankweave.operators.keyed import meet
+
 # What no entity's title begins with, and what excludes or marks a category.
 NOT_PAGES = ("Category:", "List of", "Draft:", "User:", "Template:", "Portal:", "Wikipedia:", "Module:", "File:", "Talk:", "Help:", "MediaWiki:")
 DEEP = ("by state", "by populated place", "by descent")
@@ -33,7 +41,7 @@ def is_extra_country(category: Column) -> Column:
 def _children(roots: DataFrame, edges: DataFrame, kind: str) -> DataFrame:
     """``(root, child)`` of the children of each root's ``at``; ``roots`` is ``(root, at)``."""
     e = edges.where(F.col("kind") == kind).select(F.col("parent").alias("at"), "child")
-    return roots.join(e, "at").select("root", "child")
+    return meet(e, roots, "at").select("root", "child")
 
 
 def _pages(at: DataFrame, edges: DataFrame) -> DataFrame:
@@ -75,3 +83,9 @@ def all_pages(edges: DataFrame, male: str = "Category:Male mixed martial artists
         category_pages_deep(extra, edges).select("title", F.lit("male").alias("gender"), F.lit(2).alias("p")),
     ]
     return reduce(DataFrame.unionByName, tagged).groupBy("title").agg(F.min_by("gender", "p").alias("gender"))
+
+
+def attach_gender(records: DataFrame, pages: DataFrame, name: str = "name") -> DataFrame:
+    """``records`` with the gender of their page; null for a name that wasn't discovered. ``pages`` has each title once."""
+    known = pages.select(F.col("title").alias(name), "gender")
+    return records.drop("gender").join(known, name, "left")

@@ -48,6 +48,22 @@ def attach(rows: DataFrame, state: DataFrame, keys: list[str], n: str, total: in
     return out.drop(*names.values())
 
 
+def meet(rows: DataFrame, few: DataFrame, key: str, hot_rows: int = HOT_ROWS, salts: int = 64, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Inner join of ``rows`` with all rows that ``few`` has of their key, whatever key is hot in ``rows``.
+
+    ``few`` is broadcast if a count finds it small. Otherwise keys with
+    ``hot_rows`` rows or more are spread over ``salts`` tasks, to each of which
+    their rows of ``few`` go, and all other keys meet in a plain shuffle.
+    """
+    if few.limit(broadcast_rows + 1).count() <= broadcast_rows:
+        return rows.join(F.broadcast(few), key)
+    hot = rows.groupBy(key).count().where(F.col("count") >= hot_rows).select(key)  # rows / hot_rows at most
+    calm = rows.join(F.broadcast(hot), key, "left_anti").join(few, key)
+    salted = rows.join(F.broadcast(hot), key, "left_semi").withColumn("__salt", F.floor(F.rand(7) * salts).cast("int"))
+    every = few.join(F.broadcast(hot), key, "left_semi").withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return calm.unionByName(salted.join(every, [key, "__salt"]).drop("__salt"))
+
+
 def newest(df: DataFrame, keys: list[str], at: str, columns: list[str]) -> DataFrame:
     """The row with the greatest ``at`` of each key, ties broken by the other columns.
 

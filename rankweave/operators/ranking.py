@@ -40,7 +40,7 @@ def global_rank(df: DataFrame, order: list[Column], rank: str = "rank") -> DataF
 
 def with_scores(stats: DataFrame, as_of_year: int, quality: str = "qualityWins") -> DataFrame:
     """Records with both scores, the senior flag and empty strings turned to null; rows without wins or losses are left out."""
-    birth = F.regexp_extract(F.coalesce("birthDate", F.lit("")), r"^\s*(\d{1,9})", 1).try_cast("int")
+    birth = F.regexp_extract(F.coalesce("birthDate", F.lit("")), r"^\s*(\d+)", 1).try_cast("long")
     blank = lambda c: F.when(~missing(c), F.col(c))
     return stats.where("wins is not null and losses is not null and total is not null").withColumns({
         "secondaryScore": F.col(quality),

@@ -11,6 +11,7 @@ from rankweave.functions import country, text
 from rankweave.functions.wikitext import IMAGE, WEIGHT_CLASSES, image_url, infobox, quality_wins, records, strip_markup, weight_class
 from rankweave.operators import discovery, news, ranking, views
 from rankweave.operators.keyed import missing
+from rankweave.session import checkpointed
 from rankweave.sources.snapshots import rankings_document
 from rankweave.sources.tables import table
 
@@ -141,30 +142,53 @@ select rec_id, shown, trim(regexp_replace(name, '\s*\([^)]*\)\s*$', '')) as sear
 
 # ---- category graph, drawn from the discovery categories ----
 
+#: What the drawn graph adds so that every rule of discovery has rows it applies to.
+_PREFIXED = [*discovery.NOT_PAGES, "Lists", "category:"]
+_EXCLUDED = [" male mixed martial artists", " female mixed martial artists", " by nationality", " Lists of", " Olympic", " Asian Games", " Pan American", " Commonwealth", " by populated place"]
+
+
 def _edges(spark: SparkSession, d: str) -> DataFrame:
-    r = table(spark, d, "category_records").select("category", "name", "gender", F.when(~missing("weightclass"), F.col("weightclass")).alias("w"))
-    root = F.concat(F.lit("Category:"), F.initcap("gender"), F.lit(" mixed martial artists by nationality"))
-    state = F.concat("category", F.lit(" by state"))
-    return (
-        r.where("gender in ('male', 'female') and w is not null").select(root.alias("parent"), F.col("category").alias("child"), F.lit("subcat").alias("kind"))
-        .unionByName(r.select(F.lit("Category:Mixed martial artists by nationality").alias("parent"), F.col("category").alias("child"), F.lit("subcat").alias("kind")))
-        .unionByName(r.where("w is null").select(F.col("category").alias("parent"), F.col("name").alias("child"), F.lit("page").alias("kind")))
-        .unionByName(r.where("w is not null").select(F.col("category").alias("parent"), state.alias("child"), F.lit("subcat").alias("kind")))
-        .unionByName(r.where("w is not null").select(state.alias("parent"), F.concat(state, F.lit(" "), "w").alias("child"), F.lit("subcat").alias("kind")))
-        .unionByName(r.where("w is not null").select(F.concat(state, F.lit(" "), "w").alias("parent"), F.col("name").alias("child"), F.lit("page").alias("kind")))
-        .distinct()
+    """The graph: roots to categories, pages, subcategories (direct, by state, lists) with pages, categories to be left out."""
+    pick = lambda values, m: F.element_at(F.array(*map(F.lit, values)), (F.pmod("entry_id", F.lit(m)) + 1).cast("int"))
+    r = table(spark, d, "category_records").select("entry_id", "category", "name", "gender", F.when(~missing("weightclass"), F.col("weightclass")).alias("w"))
+    title = F.concat(F.coalesce(F.when(F.pmod("entry_id", F.lit(40)) < len(_PREFIXED), pick([*_PREFIXED, *[""] * (40 - len(_PREFIXED))], 40)), F.lit("")), "name")
+    r = r.withColumns({
+        "title": title, "root": F.concat(F.lit("Category:"), F.initcap("gender"), F.lit(" mixed martial artists by nationality")), "state": F.concat("category", F.lit(" by state")),
+        "coaches": F.concat("category", F.lit(" coaches")), "lists": F.concat(F.lit("Lists of "), "category"), "out": F.concat("category", pick(_EXCLUDED, 9)),
+    })
+    top = F.lit("Category:Mixed martial artists by nationality")
+    edge = lambda parent, child, kind: F.struct(parent.alias("parent"), child.alias("child"), F.lit(kind).alias("kind"))
+    when = lambda cond, *edges: F.when(cond, F.array(*edges)).otherwise(F.array().cast("array<struct<parent:string,child:string,kind:string>>"))
+    c, has, known = F.col("category"), F.col("w").isNotNull(), F.col("gender").isin("male", "female")
+    weight = F.concat("state", F.lit(" "), "w")
+    every = F.concat(
+        F.array(edge(top, c, "subcat")), when(known & has, edge(F.col("root"), c, "subcat")), when(~has, edge(c, F.col("title"), "page")),
+        when(has, edge(c, F.col("state"), "subcat"), edge(F.col("state"), weight, "subcat"), edge(weight, F.col("title"), "page")),
+        when(F.pmod("entry_id", F.lit(5)) == 0, edge(c, F.col("coaches"), "subcat"), edge(F.col("coaches"), F.concat(F.col("title"), F.lit(" (coach)")), "page")),
+        when(F.pmod("entry_id", F.lit(7)) == 0, edge(c, F.col("lists"), "subcat"), edge(F.col("lists"), F.concat(F.lit("Listed "), "name"), "page")),
+        when(F.pmod("entry_id", F.lit(11)) == 0, edge(top, F.col("out"), "subcat"), edge(F.col("out"), F.concat(F.lit("Left out "), "name"), "page")),
     )
+    return checkpointed(r.select(F.explode(every).alias("e")).select("e.*").distinct())
 
 
 _EDGES_SQL = """
-with r as (select category, name, gender, nullif(weightclass, '') as w from category_records),
+with r as (select *, 'Category:' || upper(gender[1:1]) || gender[2:] || ' mixed martial artists by nationality' as root, category || ' by state' as state,
+  coalesce(['Category:', 'List of', 'Draft:', 'User:', 'Template:', 'Portal:', 'Wikipedia:', 'Module:', 'File:', 'Talk:', 'Help:', 'MediaWiki:', 'Lists', 'category:'][entry_id % 40 + 1], '') || name as title,
+  category || [' male mixed martial artists', ' female mixed martial artists', ' by nationality', ' Lists of', ' Olympic', ' Asian Games', ' Pan American', ' Commonwealth', ' by populated place'][entry_id % 9 + 1] as excluded
+  from (select entry_id, category, name, gender, nullif(weightclass, '') as w from category_records)),
 e as (
-  select distinct 'Category:' || upper(gender[1:1]) || gender[2:] || ' mixed martial artists by nationality' as parent, category as child, 'subcat' as kind from r where gender in ('male', 'female') and w is not null
+  select distinct root as parent, category as child, 'subcat' as kind from r where gender in ('male', 'female') and w is not null
   union select 'Category:Mixed martial artists by nationality', category, 'subcat' from r
-  union select category, name, 'page' from r where w is null
-  union select category, category || ' by state', 'subcat' from r where w is not null
-  union select category || ' by state', category || ' by state ' || w, 'subcat' from r where w is not null
-  union select category || ' by state ' || w, name, 'page' from r where w is not null),
+  union select category, title, 'page' from r where w is null
+  union select category, state, 'subcat' from r where w is not null
+  union select state, state || ' ' || w, 'subcat' from r where w is not null
+  union select state || ' ' || w, title, 'page' from r where w is not null
+  union select category, category || ' coaches', 'subcat' from r where entry_id % 5 = 0
+  union select category || ' coaches', title || ' (coach)', 'page' from r where entry_id % 5 = 0
+  union select category, 'Lists of ' || category, 'subcat' from r where entry_id % 7 = 0
+  union select 'Lists of ' || category, 'Listed ' || name, 'page' from r where entry_id % 7 = 0
+  union select 'Category:Mixed martial artists by nationality', excluded, 'subcat' from r where entry_id % 11 = 0
+  union select excluded, 'Left out ' || name, 'page' from r where entry_id % 11 = 0),
 p as (select * from e where kind = 'page' and not regexp_matches(child, '^(Category:|List of|Draft:|User:|Template:|Portal:|Wikipedia:|Module:|File:|Talk:|Help:|MediaWiki:)')),
 c as (select * from e where kind = 'subcat')
 """
@@ -314,7 +338,7 @@ def _countries_sql() -> str:
     return f"""
 with k as (select distinct rec_id, nationality, {key} as key from fighter_records),
 f as (select rec_id, nationality, case when coalesce(nationality, '') = '' then '' else coalesce(case when list_contains({names}, key) then key end,
-  case key {case(country._pairs(country.ALIASES, "="))} end, case key {case(country._pairs(country.DEMONYMS, "="))} end,
+  case key {case(country.ALIASES)} end, case key {case(country.DEMONYMS)} end,
   case when key <> '' then list_filter({names}, lambda n: contains(n, key) or contains(key, n))[1] end, key) end as country from k)
 select distinct rec_id, country, coalesce(case country {case(country.FLAG_OF)} end, '') as flag,
   case when country = '' then coalesce(nationality, '') else array_to_string(list_transform(regexp_extract_all(country, '[A-Za-z0-9_]+|[^A-Za-z0-9_]+'), lambda w: upper(w[1:1]) || w[2:]), '') end as name from f"""
