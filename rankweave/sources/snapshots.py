@@ -54,21 +54,45 @@ def load_board(spark: SparkSession, root: str, board: str) -> DataFrame:
     return read_boards(spark, root).where(F.col("board") == board).orderBy("rank")
 
 
-def write_news(df: DataFrame, root: str, run_id: str) -> bool:
-    """Writes merged news unless there is none, when the last run stays the last; tells whether it wrote."""
-    if df.isEmpty():
+def write_news(df: DataFrame, root: str, run_id: str, allow_empty: bool = False) -> bool:
+    """Writes merged news; without any the last run stays the last, unless an empty run is asked for. Tells whether it wrote."""
+    if not allow_empty and df.isEmpty():
         return False
-    write_snapshot(df, root, run_id)
+    write_snapshot(df.select(*NEWS_ENTRY.fieldNames()), root, run_id)
     return True
 
 
-def rankings_document(boards: DataFrame, last_updated: str) -> DataFrame:
+def as_stored(boards: DataFrame) -> DataFrame:
+    """Boards with the fields each is stored with: its own score, birth year and senior flag on score boards, previous ranks on the two others."""
+    plain = F.col("board").isin("best", "worst")
+    own = {"secondaryScore": F.col("board").startswith("secondary"), "thirdaryScore": F.col("board").startswith("thirdary"), "birthDate": ~plain, "isSenior": ~plain, "previousRank": plain}
+    return boards.withColumns({
+        f.name: (F.when(own[f.name], F.col(f.name)) if f.name in own else F.col(f.name)) if f.name in boards.columns else F.lit(None).cast(f.dataType) for f in BOARD_ROW.fields
+    }).select(*BOARD_ROW.fieldNames())
+
+
+def write_boards(boards: DataFrame, root: str, run_id: str, rows_per_file: int = 1_000_000) -> None:
+    """All boards of one run as files sorted by rank, a board that is large in several, all in parallel."""
+    laid = as_stored(boards).withColumn("__file", F.floor(F.col("rank") / F.lit(rows_per_file)))
+    laid = laid.repartition("board", "__file").sortWithinPartitions("board", "rank").drop("__file")
+    write_snapshot(laid, root, run_id)
+
+
+#: The one-document export is for readers of small boards; larger ones are read as files.
+MAX_DOCUMENT_ROWS = 100_000
+
+
+def rankings_document(boards: DataFrame, last_updated: str, max_rows: int = MAX_DOCUMENT_ROWS) -> DataFrame:
     """One row ``json``: the document of all boards. Empty optional boards are omitted, ``fighters`` never is; nulls are left out.
 
-    An export for readers of one document: boards are top lists, and the
-    document is as large as they are together.
+    An export for readers of one document. Some boards have no limit, so the
+    rows are counted first and more than ``max_rows`` are refused; ``write_boards``
+    writes boards of any size.
     """
-    row = F.struct("rank", F.struct(*(F.col(c) for c in RECORD.fieldNames() if c in boards.columns)).alias("r"))
+    if (n := boards.limit(max_rows + 1).count()) > max_rows:
+        raise ValueError(f"the boards have at least {n} rows; one document takes {max_rows}")
+    boards = as_stored(boards)
+    row = F.struct("rank", F.struct(*RECORD.fieldNames()).alias("r"))
     lists = [
         F.transform(F.sort_array(F.collect_list(F.when(F.col("board") == b, row))), lambda x: x["r"]).alias(name) for b, name in DOC_NAMES.items()
     ]

@@ -18,18 +18,7 @@ RECORD = _schema(
     "lastUpdated timestamp, gender string, weightClass string, imageUrl string, previousRank long, secondaryScore long, "
     "thirdaryScore double, birthDate string, isSenior boolean"
 )
-STATS = _schema(
-    "name string, total long, wins long, kos long, losses long, draws long, nationality string, weightClass string, "
-    "imageUrl string, birthDate string, qualityWins long"
-)
 NEWS_ENTRY = _schema("boxerName string, headline string, url string, source string, publishedAt string")
-ARTICLE = T.StructType(
-    [
-        *_schema("title string, description string, url string"),
-        T.StructField("source", _schema("name string")),
-        *_schema("publishedAt string"),
-    ]
-)
 CATEGORY_EDGE = _schema("parent string, child string, kind string")
 
 
