@@ -51,14 +51,17 @@ def top_n(
     apart, so where such rows straddle the cutoff all of them are kept; ``n`` of
     0 or less and an empty table give no rows; other columns pass through.
 
-    Rows are written once to the shared folder; two joins attach intervals and
-    cutoffs to them (hot groups by broadcast, see ``attach``). The rows still
-    in doubt after the first round are written again and shrink each round.
+    Rows are written once to the shared folder, and what made them runs once;
+    codes are computed where they are used. Two joins attach intervals and
+    cutoffs (hot groups by broadcast, see ``attach``). Of the rows still in
+    doubt after the first round group and code are written again; they shrink
+    each round.
     """
     if n <= 0:
         return df.limit(0)
-    code, kind, size = _code(df, order)
-    base = checkpointed(df.withColumn("__code", code))
+    base = checkpointed(df)
+    code, kind, size = _code(base, order)
+    base = base.withColumn("__code", code)
     fan = midpoints + 1
     window = Window.partitionBy(*group)  # at most fan rows each
     from_top = window.orderBy(F.col("__b").desc()).rowsBetween(Window.unboundedPreceding, 0)
