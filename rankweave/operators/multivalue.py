@@ -87,20 +87,16 @@ class FieldGrammar:
             return None
         return j + 2, t[i + 2 : j].rpartition("|")[2]
 
-    def _bracketed(self, t: str, i: int) -> tuple[int, str] | None:
-        close = {"(": ")", "[": "]", "{": "}"}.get(t[i])
-        if close is None:
-            return None
-        depth, j = 0, i
-        while j < len(t):
-            if t[j] == t[i]:
-                depth += 1
-            elif t[j] == close:
-                depth -= 1
-                if not depth:
-                    return j + 1, t[i : j + 1]
-            j += 1
-        return None
+    @staticmethod
+    def _brackets(t: str) -> dict[int, int]:
+        """Every bracket that closes, with the place of its partner; each kind is matched by itself, in one pass."""
+        partner, stacks, opens = {}, {")": [], "]": [], "}": []}, {"(": ")", "[": "]", "{": "}"}
+        for i, c in enumerate(t):
+            if c in opens:
+                stacks[opens[c]].append(i)
+            elif c in stacks and stacks[c]:
+                partner[stacks[c].pop()] = i
+        return partner
 
     def parse(self, raw: str | None) -> list[tuple[int, str, str | None]]:
         """``(pos, item, error)`` of each value; pos counts from 1, empty places not counted."""
@@ -124,6 +120,7 @@ class FieldGrammar:
             error = None
 
         i, n = 0, len(t)
+        partner = self._brackets(t) if any(c in t for c in "([{") else {}
         while i < n:
             if (j := self._sep(t, i)) is not None:
                 close()
@@ -142,8 +139,9 @@ class FieldGrammar:
             if got is None:
                 got = self._link(t, i)
             if got is None and c in "([{":
-                got = self._bracketed(t, i)
-                if got is None:
+                if i in partner:
+                    got = (partner[i] + 1, t[i : partner[i] + 1])
+                else:
                     error = error or "open_bracket"
             if got is None and self._name is not None and (m := self._name.match(t, i)):
                 got = (m.end(), m[0])

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankweave.operators.multivalue import MAX_NAMES, split_values
@@ -18,22 +20,48 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return surplus_deliveries(table(spark, d, "news_entry"), "batch").select(F.col("id").alias("delivery_id"))
 
 
-def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    """One row per value of the fields that hold two or more."""
+_FIELDS = (("category_records", "entry_id", "nationality"), ("infobox", "pageid", "weightclass"))
+#: Marks that only the grammar can read: quotes, brackets, markup, entities, bullets.
+_MARKS = "[\"'“”‘’«»„()\\[\\]{}<>&*#]"
+
+
+def _values(spark: SparkSession, d: str, min_values: int, where: Callable[[Column], Column] | None = None) -> DataFrame:
+    """Values of both fields, with their flags; ``where`` picks rows by their field."""
     names = [r["country"] for r in table(spark, d, "country_dim").select("country").limit(MAX_NAMES + 1).collect()]
-    parts = [
-        split_values(table(spark, d, src), key, field, names, min_values=2).select(F.lit(src).alias("src"), "row_key", "pos", "item")
-        for src, key, field in (("category_records", "entry_id", "nationality"), ("infobox", "pageid", "weightclass"))
-    ]
+    parts = []
+    for src, key, field in _FIELDS:
+        rows = table(spark, d, src)
+        rows = rows if where is None else rows.where(where(F.col(field)))
+        parts.append(split_values(rows, key, field, names, min_values).select(F.lit(src).alias("src"), "row_key", "pos", "item", "error"))
     return parts[0].unionByName(parts[1]).distinct()
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    """One row per value of the fields that hold two or more."""
+    return _values(spark, d, 2).select("src", "row_key", "pos", "item")
+
+
+def p4_flags(spark: SparkSession, d: str) -> DataFrame:
+    """Every value that the grammar flagged, of fields with any number of values."""
+    return _values(spark, d, 1).where("error is not null")
+
+
+def p4_plain(spark: SparkSession, d: str) -> DataFrame:
+    """Values of the fields that hold neither quotes, brackets nor markup, nor the word "and"."""
+    return _values(spark, d, 2, lambda c: ~c.rlike(f"{_MARKS}|(?i)and")).select("src", "row_key", "pos", "item")
+
+
+def p4_quotes(spark: SparkSession, d: str) -> DataFrame:
+    """Fields that begin with a double quote and have no other, so that it can't close, and are flagged for it."""
+    return _values(spark, d, 1, lambda c: F.trim(c).rlike('^"[^"]*$')).where("error = 'malformed_quote' and pos = 1").select("src", "row_key")
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     """Fighters added, removed or changed from each snapshot to the next one delivered."""
     return snapshot_changes(table(spark, d, "ranking_snapshots"), "snapshot_id", "fighter_id", "lastupdated", COMPARED)
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p4_found, p5_found)}
+QUERIES = {f.__name__: f for f in (p3_found, p4_found, p4_flags, p4_plain, p4_quotes, p5_found)}
 
 SQL = {
     "p3_found": """
@@ -41,6 +69,16 @@ with k as (select delivery_id, received_at, coalesce(url, '') = '' as bare,
   case when coalesce(url, '') = '' then coalesce(headline, '') else url end as k1,
   case when coalesce(url, '') = '' then coalesce(source, '') else '' end as k2 from news_entry)
 select delivery_id from (select delivery_id, row_number() over (partition by bare, k1, k2 order by received_at, delivery_id) as n from k) where n > 1
+""",
+    "p4_plain": rf"""
+with f as (select distinct 'category_records' as src, entry_id as row_key, nationality as field from category_records union select 'infobox', pageid, weightclass from infobox),
+s as (select src, row_key, list_filter(list_transform(regexp_split_to_array(field, '[,;/|•·\n\r]'), lambda x: trim(regexp_replace(x, '[\s\x{{a0}}]+', ' ', 'g'))), lambda x: x <> '') as items
+  from f where not regexp_matches(field, '{_MARKS.replace("'", "''")}|(?i)and'))
+select distinct src, row_key, pos, items[pos] as item from (select src, row_key, items, unnest(range(1, len(items) + 1)) as pos from s where len(items) > 1)
+""",
+    "p4_quotes": """
+select 'category_records' as src, entry_id as row_key from category_records where regexp_matches(trim(nationality), '^"[^"]*$')
+union select 'infobox', pageid from infobox where regexp_matches(trim(weightclass), '^"[^"]*$')
 """,
     "p5_found": """
 with r as (select * from (select *, row_number() over (partition by snapshot_id, fighter_id order by lastupdated desc) as rn from ranking_snapshots) where rn = 1),
