@@ -52,8 +52,12 @@ def p4_plain(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_quotes(spark: SparkSession, d: str) -> DataFrame:
-    """Fields that begin with a double quote and have no other, so that it can't close, and are flagged for it."""
-    return _values(spark, d, 1, lambda c: F.trim(c).rlike('^"[^"]*$')).where("error = 'malformed_quote' and pos = 1").select("src", "row_key")
+    """The first value of every plain field once a quote is put before it that never closes: read as a character, and flagged."""
+    parts = []
+    for src, key, field in _FIELDS:
+        rows = table(spark, d, src).where(~F.col(field).rlike(f"{_MARKS}|(?i)and")).select(key, F.concat(F.lit('"'), field).alias("damaged"))
+        parts.append(split_values(rows, key, "damaged").where("error = 'malformed_quote'").select(F.lit(src).alias("src"), "row_key", "pos", "item"))
+    return parts[0].unionByName(parts[1]).distinct()
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
@@ -63,6 +67,13 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (p3_found, p4_found, p4_flags, p4_plain, p4_quotes, p5_found)}
 
+_ITEMS = r"list_filter(list_transform(regexp_split_to_array({}, '[,;/|•·\n\r]'), lambda x: trim(regexp_replace(x, '[\s\x{{a0}}]+', ' ', 'g'))), lambda x: x <> '')"
+_SPLIT = rf"""
+with f as (select distinct 'category_records' as src, entry_id as row_key, nationality as field from category_records union select 'infobox', pageid, weightclass from infobox),
+s as (select src, row_key, {_ITEMS.format("field")} as items, {_ITEMS.format("""'"' || field""")} as damaged
+  from f where not regexp_matches(field, '{_MARKS.replace("'", "''")}|(?i)and'))
+"""
+
 SQL = {
     "p3_found": """
 with k as (select delivery_id, received_at, coalesce(url, '') = '' as bare,
@@ -70,16 +81,8 @@ with k as (select delivery_id, received_at, coalesce(url, '') = '' as bare,
   case when coalesce(url, '') = '' then coalesce(source, '') else '' end as k2 from news_entry)
 select delivery_id from (select delivery_id, row_number() over (partition by bare, k1, k2 order by received_at, delivery_id) as n from k) where n > 1
 """,
-    "p4_plain": rf"""
-with f as (select distinct 'category_records' as src, entry_id as row_key, nationality as field from category_records union select 'infobox', pageid, weightclass from infobox),
-s as (select src, row_key, list_filter(list_transform(regexp_split_to_array(field, '[,;/|•·\n\r]'), lambda x: trim(regexp_replace(x, '[\s\x{{a0}}]+', ' ', 'g'))), lambda x: x <> '') as items
-  from f where not regexp_matches(field, '{_MARKS.replace("'", "''")}|(?i)and'))
-select distinct src, row_key, pos, items[pos] as item from (select src, row_key, items, unnest(range(1, len(items) + 1)) as pos from s where len(items) > 1)
-""",
-    "p4_quotes": """
-select 'category_records' as src, entry_id as row_key from category_records where regexp_matches(trim(nationality), '^"[^"]*$')
-union select 'infobox', pageid from infobox where regexp_matches(trim(weightclass), '^"[^"]*$')
-""",
+    "p4_plain": f"{_SPLIT} select distinct src, row_key, pos, items[pos] as item from (select src, row_key, items, unnest(range(1, len(items) + 1)) as pos from s where len(items) > 1)",
+    "p4_quotes": f"{_SPLIT} select distinct src, row_key, 1 as pos, damaged[1] as item from s",
     "p5_found": """
 with r as (select * from (select *, row_number() over (partition by snapshot_id, fighter_id order by lastupdated desc) as rn from ranking_snapshots) where rn = 1),
 s as (select snapshot_id, lag(snapshot_id) over (order by snapshot_id) as prev from (select distinct snapshot_id from r)),
