@@ -3,20 +3,32 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rankweave import runs
 from rankweave.functions import country, text
-from rankweave.functions.wikitext import IMAGE, WEIGHT_CLASSES, image_url, infobox, quality_wins, records, strip_markup, weight_class
+from rankweave.functions.wikitext import image_url, infobox, quality_wins, records, strip_markup, weight_class
 from rankweave.operators import discovery, news, ranking, views
 from rankweave.operators.keyed import missing
 from rankweave.session import checkpointed
-from rankweave.sources.snapshots import rankings_document
+from rankweave.sources.snapshots import DOC_NAMES, rankings_document
 from rankweave.sources.tables import table
 
-#: The year that ages are counted to, and the moment before which news expires.
-AS_OF, CUTOFF = 2023, "2023-01-15T00:00:00.000Z"
+#: The year that ages are counted to, and the time of the news run, 30 days before which news expires.
+AS_OF, RUN_AT = 2023, datetime(2023, 2, 14)
+#: Values of the SQL, stated apart from the operators': classes in the order tried, classes from light to heavy.
+_CLASSES_SQL = (
+    "Super heavyweight|Light heavyweight|Super middleweight|Super featherweight|Light welterweight|Light middleweight|Featherweight|Cruiserweight|"
+    "Middleweight|Welterweight|Lightweight|Heavyweight|Bantamweight|Strawweight|Flyweight|Atomweight"
+).split("|")
+_WEIGHTS_SQL = (
+    "atomweight|strawweight|flyweight|super flyweight|bantamweight|super bantamweight|featherweight|super featherweight|lightweight|super lightweight|"
+    "welterweight|super welterweight|middleweight|super middleweight|light heavyweight|cruiserweight|heavyweight|super heavyweight"
+).split("|")
+_ORDINAL_SQL = "case lower(weightclass) " + " ".join(f"when '{w}' then {i}" for i, w in enumerate(_WEIGHTS_SQL, 1)) + " else 999 end"
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -27,7 +39,7 @@ _RANKED = ["rec_id", "name", "total", "wins", "kos", "losses", "draws", "nationa
 def _scored(spark: SparkSession, d: str, *more: str) -> DataFrame:
     """Records once each, with scores; only the columns asked for are read and compared."""
     rows = table(spark, d, "fighter_records").select(*_RANKED, *more).distinct()
-    names = {"weightclass": "weightClass", "imageurl": "imageUrl", "birthdate": "birthDate", "lastupdated": "lastUpdated", "wikipediaurl": "wikipediaUrl", "secondaryscore": "qualityWins"}
+    names = {"weightclass": "weightClass", "imageurl": "imageUrl", "birthdate": "birthDate", "lastupdated": "lastUpdated", "wikipediaurl": "wikipediaUrl", "secondaryscore": "qualityWins", "previousrank": "previousRank"}
     return ranking.with_scores(rows.withColumnsRenamed(names), AS_OF)
 
 
@@ -49,20 +61,23 @@ _BOARD_SQL = {  # rows that qualify, their order
 }
 
 
+def _kept_sql(name: str) -> str:
+    fit, order = _BOARD_SQL[name]
+    if name in ("best", "worst"):
+        return f"select *, 0 as section from s where {fit}"
+    if name in ("secondary", "thirdary"):
+        return f"""select * exclude (taken), 0 as section from (select *, coalesce(sum(case when senior then 0 else 1 end) over (order by {order} rows between unbounded preceding and 1 preceding), 0) as taken
+          from s where {fit}) where taken < 50"""
+    return f"select *, 0 as section from (select * from s where {fit} and not senior order by {order} limit 50) union all select *, 1 as section from s where {fit} and senior"
+
+
 def _board_query(name: str) -> tuple[Query, str]:
     def query(spark: SparkSession, d: str) -> DataFrame:
         out = ranking.board(_scored(spark, d), name, tie="rec_id")
         return out.select("rec_id", "name", "wins", "losses", "kos", F.col("section").cast("long").alias("section"), "rank")
 
-    fit, order = _BOARD_SQL[name]
-    if name in ("best", "worst"):
-        kept = f"select *, 0 as section from s where {fit}"
-    elif name in ("secondary", "thirdary"):
-        kept = f"""select * exclude (taken), 0 as section from (select *, coalesce(sum(case when senior then 0 else 1 end) over (order by {order} rows between unbounded preceding and 1 preceding), 0) as taken
-          from s where {fit}) where taken < 50"""
-    else:
-        kept = f"select *, 0 as section from (select * from s where {fit} and not senior order by {order} limit 50) union all select *, 1 as section from s where {fit} and senior"
-    sql = f"{_SCORED_SQL}, kept as ({kept}) select rec_id, name, wins, losses, kos, cast(section as bigint) as section, row_number() over (order by section, {order}) as rank from kept"
+    order = _BOARD_SQL[name][1]
+    sql = f"{_SCORED_SQL}, kept as ({_kept_sql(name)}) select rec_id, name, wins, losses, kos, cast(section as bigint) as section, row_number() over (order by section, {order}) as rank from kept"
     return query, sql
 
 
@@ -71,35 +86,83 @@ def scores(spark: SparkSession, d: str) -> DataFrame:
     return _scored(spark, d).select("rec_id", F.col("secondaryScore").alias("s2"), F.round("thirdaryScore", 9).alias("s3"), "isSenior")
 
 
-def _snapshot_board(spark: SparkSession, d: str, last: bool) -> DataFrame:
-    """The best board of one whole snapshot; every fighter counts as pictured."""
+def _snapshot_board(spark: SparkSession, d: str, name: str, last: bool, previous: DataFrame | None = None) -> DataFrame:
+    """A board of one whole snapshot; every fighter counts as pictured."""
     rows = table(spark, d, "ranking_snapshots")
     pick = rows.agg((F.max if last else F.min)("snapshot_id").alias("snapshot_id"))
     rows = rows.join(F.broadcast(pick), "snapshot_id")
     state = F.max(F.struct("lastupdated", "name", "wins", "kos", "losses", "draws")).alias("x")
     rows = rows.groupBy("fighter_id").agg(state).select("fighter_id", "x.*")
     scored = rows.select("fighter_id", "name", "wins", "kos", "losses", "draws", F.lit("x").alias("imageUrl"))
-    return ranking.board(scored, "best", tie="fighter_id", min_wins=5)
+    return ranking.board(scored, name, previous, tie="fighter_id", min_wins=5, min_losses=5)
 
 
-def board_movement(spark: SparkSession, d: str) -> DataFrame:
-    """The best board of the last snapshot with places gained since the first."""
-    before = _snapshot_board(spark, d, False).select(F.lit("best").alias("board"), "name", "rank", F.lit("x").alias("imageUrl"))
-    prior = ranking.previous_ranks(before, "best").groupBy("name").agg(F.max("rank").alias("previousRank"))
-    now = _snapshot_board(spark, d, True).join(prior, "name", "left")
-    return now.select("fighter_id", "name", "rank", "previousRank", ranking.rank_change(now).alias("change"))
+def _movement(name: str) -> Query:
+    def query(spark: SparkSession, d: str) -> DataFrame:
+        first = _snapshot_board(spark, d, name, False).select("board", "name", "rank", "imageUrl")
+        now = _snapshot_board(spark, d, name, True, ranking.previous_ranks(first, name))
+        return now.select("fighter_id", "name", "rank", "previousRank", ranking.rank_change(now).alias("change"))
+
+    return query
 
 
-_MOVEMENT_SQL = """
+def _movement_sql(name: str) -> str:
+    fit, order = {"best": ("losses = 0 and wins >= 5", "wins desc, coalesce(draws, 0), kos desc"), "worst": ("wins = 0 and losses >= 5", "losses desc, coalesce(draws, 0)")}[name]
+    return f"""
 with u as (select *, row_number() over (partition by snapshot_id, fighter_id order by lastupdated desc) as rn from ranking_snapshots),
-b as (select snapshot_id, fighter_id, name, row_number() over (partition by snapshot_id order by wins desc, coalesce(draws, 0), kos desc, icu_sort_key(name, 'root'), fighter_id) as rank
-  from u where rn = 1 and losses = 0 and wins >= 5),
+b as (select snapshot_id, fighter_id, name, row_number() over (partition by snapshot_id order by {order}, icu_sort_key(name, 'root'), fighter_id) as rank
+  from u where rn = 1 and {fit}),
 p as (select name, max(rank) as prev from b where snapshot_id = (select min(snapshot_id) from ranking_snapshots) group by name)
 select fighter_id, b.name, rank, prev as "previousRank", coalesce(prev - rank, 0) as change
 from b left join p on b.name = p.name where snapshot_id = (select max(snapshot_id) from ranking_snapshots)
 """
 
 
+def gender_attach(spark: SparkSession, d: str) -> DataFrame:
+    """The discovered gender of every record's name, if it was discovered."""
+    names = table(spark, d, "fighter_records").select("name").distinct()
+    return discovery.attach_gender(names, discovery.all_pages(_edges(spark, d)))
+
+
+def boards_long(spark: SparkSession, d: str) -> DataFrame:
+    """All six boards as one table."""
+    return ranking.boards(_scored(spark, d), tie="rec_id").select("board", "rec_id", F.col("section").cast("long").alias("section"), "rank")
+
+
+def _boards_sql(columns: str) -> str:
+    return _SCORED_SQL + ", " + ", ".join(f"b_{n} as ({_kept_sql(n)})" for n in _BOARD_SQL) + ", boards as (" + " union all ".join(
+        f"select '{n}' as board, {columns}, row_number() over (order by section, {_BOARD_SQL[n][1]}) as rank from b_{n}" for n in _BOARD_SQL
+    ) + ")"
+
+
+def run_report(spark: SparkSession, d: str) -> DataFrame:
+    """What a run says at its end: names asked for and read, size of each board, its first ten."""
+    scored = checkpointed(_scored(spark, d))
+    return runs.report(table(spark, d, "fighter_records"), scored, ranking.boards(scored, tie="rec_id"))
+
+
+def _view_query(board: str, sort_by: str) -> Query:
+    def query(spark: SparkSession, d: str) -> DataFrame:
+        stored = ranking.board(_scored(spark, d, "previousrank"), board, tie="rec_id")
+        return views.view(stored, board, sort_by=sort_by).select("rec_id", "displayName", "koPct", "flag", "rankChange", "stored_rank", "rank")
+
+    return query
+
+
+_VIEW_ORDERS = {
+    ("best", "wins"): "wins desc, draws, kos desc, k", ("best", "kos"): "kos desc", ("best", "weight"): f"{_ORDINAL_SQL}, wins desc", ("worst", "wins"): "losses desc, draws, k",
+    ("secondary", "wins"): "s2 desc, kos desc", ("secondaryWorst", "wins"): "s2, kos", ("thirdary", "wins"): "s3 desc, kos desc", ("thirdaryWorst", "wins"): "s3, kos",
+}
+
+
+def _view_order_sql(board: str, sort_by: str) -> str:
+    scored = _SCORED_SQL.replace("select distinct ", "select distinct previousrank, ").replace("select rec_id, name,", "select rec_id, previousrank, name,")
+    return f"""{scored}, b as (select *, row_number() over (order by section, {_BOARD_SQL[board][1]}) as stored_rank from ({_kept_sql(board)})),
+v as (select *, row_number() over (order by {_VIEW_ORDERS[board, sort_by]}, name, stored_rank) as rank from b), c as ({_countries_sql()})
+select v.rec_id, regexp_replace(v.name, '\\s*\\((?:mixed )?martial artist\\)$', '') as "displayName", case when wins > 0 then cast(round(kos / wins * 100, 0) as bigint) else 0 end as "koPct", flag,
+  case when coalesce(previousrank, 0) = 0 then 0 else previousrank - rank end as "rankChange", stored_rank, rank from v join c on c.rec_id = v.rec_id"""
+
+
 def board_view(spark: SparkSession, d: str) -> DataFrame:
     """Women of the best board whose name holds an "a", by weight, as shown."""
     stored = ranking.board(_scored(spark, d), "best", tie="rec_id")
@@ -108,11 +171,10 @@ def board_view(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _view_sql() -> str:
-    ordinals = " ".join(f"when '{w}' then {i}" for i, w in enumerate(views.WEIGHTS, 1))
     fit, order = _BOARD_SQL["best"]
     shown = r"regexp_replace(name, '\s*\((?:mixed )?martial artist\)$', '')"
     return f"""{_SCORED_SQL},
-b as (select *, row_number() over (order by {order}) as stored_rank, case lower(weightclass) {ordinals} else 999 end as w, {shown} as shown from s where {fit}),
+b as (select *, row_number() over (order by {order}) as stored_rank, {_ORDINAL_SQL} as w, {shown} as shown from s where {fit}),
 v as (select * from b where gender = 'female' and contains(lower(shown), 'a'))
 select rec_id, shown as "displayName", upper(array_to_string(list_transform(string_split(shown, ' '), lambda x: x[1:1]), '')[1:2]) as initials,
   case when wins > 0 then cast(round(kos / wins * 100, 0) as bigint) else 0 end as "koPct", cast(w as bigint) as "weightOrdinal", stored_rank,
@@ -129,7 +191,6 @@ def name_facts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _names_sql() -> str:
-    ordinals = " ".join(f"when '{w}' then {i}" for i, w in enumerate(views.WEIGHTS, 1))
     url = "url_encode(replace(name, ' ', '_'))"
     for a, b in (("%21", "!"), ("%27", "''"), ("%28", "("), ("%29", ")"), ("%2A", "*")):
         url = f"replace({url}, '{a}', '{b}')"
@@ -137,7 +198,7 @@ def _names_sql() -> str:
 with x as (select *, regexp_replace(name, '\s*\((?:mixed )?martial artist\)$', '') as shown from fighter_records)
 select rec_id, shown, trim(regexp_replace(name, '\s*\([^)]*\)\s*$', '')) as searched,
   upper(array_to_string(list_transform(string_split(shown, ' '), lambda w: w[1:1]), '')[1:2]) as initials, 'https://en.wikipedia.org/wiki/' || {url} as url,
-  case when wins > 0 then cast(round(kos / wins * 100, 0) as bigint) else 0 end as ko_pct, cast(case lower(weightclass) {ordinals} else 999 end as bigint) as weight_ord from x"""
+  case when wins > 0 then cast(round(kos / wins * 100, 0) as bigint) else 0 end as ko_pct, cast({_ORDINAL_SQL} as bigint) as weight_ord from x"""
 
 
 # ---- category graph, drawn from the discovery categories ----
@@ -288,7 +349,7 @@ def _class_sql() -> str:
     for pattern, to in ((r"<[^>]+>", " "), (r"\{\{[^}]*\}\}", " "), (r"\[\[(?:[^\]|]*\|)?([^\]]*)\]\]", r"\1"), ("''''''", ""), ("''''", ""), ("&nbsp;", " "), (f"[{_WS_SQL}]+", " ")):
         c = f"regexp_replace({c}, '{pattern}', '{to}', 'g')"
     found = " ".join(
-        f"when strpos(n, '{w.lower()}') > 0 and (strpos(n, '{w.lower()}') = 1 or n[strpos(n, '{w.lower()}') - 1] = ' ') and n[strpos(n, '{w.lower()}') + {len(w)}] in ('', ' ') then '{w}'" for w in WEIGHT_CLASSES
+        f"when strpos(n, '{w.lower()}') > 0 and (strpos(n, '{w.lower()}') = 1 or n[strpos(n, '{w.lower()}') - 1] = ' ') and n[strpos(n, '{w.lower()}') + {len(w)}] in ('', ' ') then '{w}'" for w in _CLASSES_SQL
     )
     return rf"""
 with i as (select pageid, weightclass, list_filter(list_transform(string_split(regexp_replace(regexp_replace(weightclass, '^\{{\{{plainlist[{_WS_SQL}]*\|?', ''), '\}}\}}$', ''), '*'),
@@ -300,13 +361,20 @@ select distinct pageid, case when t is null then null {found}
 
 
 def infobox_images(spark: SparkSession, d: str) -> DataFrame:
-    """The image address of every infobox."""
-    return table(spark, d, "infobox").select("pageid", image_url(F.coalesce("image", F.lit(""))).alias("url")).distinct()
-
-
-_IMAGES_SQL = rf"""
-with x as (select distinct pageid, replace(image, ' ', '_') as i from infobox)
-select pageid, case when coalesce(i, '') = '' or not regexp_matches(i, '(?i)\.({IMAGE})$') then '' else 'https://en.wikipedia.org/wiki/Special:FilePath/' || url_encode(i) end as url from x
+    """The image address of every infobox, its parameter written in all the ways that count: bare, linked, with options, unwanted."""
+    image, k = F.coalesce("image", F.lit("")), F.pmod("pageid", F.lit(8))
+    forms = [image, F.concat(F.lit("[[File:"), image, F.lit("|thumb|x]]")), F.concat(F.lit("File:"), image, F.lit("|220px")), F.concat(F.lit("[[image:"), image, F.lit("]]")),
+             F.concat(F.lit("Boxbelt "), image), F.concat(F.lit("<!-- "), image, F.lit(" -->")), F.concat(image, F.lit(" (left).PNG?x")), F.concat(F.lit("Medal "), image)]
+    raw = F.get(F.array(*forms), k.cast("int"))
+    return table(spark, d, "infobox").select("pageid", image_url(raw).alias("url")).distinct()
+
+
+_IMAGES_SQL = r"""
+with x as (select distinct pageid, pageid % 8 as k, coalesce(image, '') as i from infobox),
+y as (select pageid, case k when 6 then i || ' (left).PNG' when 7 then '' when 5 then '' when 4 then '' else i end as i, k from x),
+z as (select pageid, case when k = 6 then y.i else regexp_extract(y.i, '(?i).+\.(?:jpg|jpeg|png|gif|svg|webp)$') end as n from y)
+select pageid, case when n = '' or regexp_matches(n, '(?i)Med[\s_]*\d*\.png|Generic_belt_icon\.svg|Olympic[\s_]*rings\.svg|Boxbelt|Medal[\s_]|Ribbon[\s_]|File-icon') then ''
+  else 'https://en.wikipedia.org/wiki/Special:FilePath/' || replace(replace(url_encode(replace(n, ' ', '_')), '%28', '('), '%29', ')') end as url from z
 """
 
 
@@ -352,7 +420,8 @@ def _watched(spark: SparkSession, d: str) -> DataFrame:
 
 def _articles(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "news_entry").select(
-        "delivery_id", F.col("boxername").alias("fighter"), F.col("headline").alias("title"), F.lit(None).cast("string").alias("description"), "url", "source", F.col("publishedat").alias("publishedAt")
+        "delivery_id", F.col("boxername").alias("fighter"), F.col("headline").alias("title"),
+        F.when(F.pmod("delivery_id", F.lit(5)) == 0, F.concat(F.lit("With "), "boxername")).alias("description"), "url", "source", F.col("publishedat").alias("publishedAt")
     )
 
 
@@ -372,7 +441,7 @@ def mention_match(spark: SparkSession, d: str) -> DataFrame:
 
 _CLEAN = r"trim(lower(regexp_replace({}, '\s*\([^)]*\)\s*$', '')))"
 _MATCH_SQL = f"""{_WATCH_SQL},
-a as (select *, lower(coalesce(headline, '') || ' ') as hay from news_entry where coalesce(url, '') <> ''),
+a as (select *, lower(coalesce(headline, '') || ' ' || coalesce(case when delivery_id % 5 = 0 then 'With ' || boxername end, '')) as hay from news_entry where coalesce(url, '') <> ''),
 o as (select delivery_id, arg_min(w.name, w.rank) as other from a join w on contains(a.hay, {_CLEAN.format('w.name')}) group by delivery_id),
 m as (select a.*, case when coalesce(boxername, '') <> '' and contains(hay, {_CLEAN.format('boxername')}) then boxername else other end as hit from a left join o using (delivery_id)),
 f as (select *, row_number() over (partition by url order by delivery_id) as n from m where hit is not null)
@@ -385,7 +454,7 @@ def _entries(spark: SparkSession, d: str) -> DataFrame:
 
 def _merged(spark: SparkSession, d: str) -> DataFrame:
     e = _entries(spark, d)
-    return news.rolling_merge(e.where("batch > 0"), e.where("batch <= 0 or batch is null"), CUTOFF)
+    return news.rolling_merge(e.where("batch > 0"), e.where("batch <= 0 or batch is null"), runs.cutoff(RUN_AT))
 
 
 def rolling_merge(spark: SparkSession, d: str) -> DataFrame:
@@ -395,7 +464,7 @@ def rolling_merge(spark: SparkSession, d: str) -> DataFrame:
 
 _MERGED_SQL = f"""
 with l as (select *, case when coalesce(url, '') = '' then coalesce(headline, '') || coalesce(source, '') else url end as key, case when batch > 0 then 0 else 1 end as side
-  from news_entry where coalesce(publishedat, '') = '' or publishedat >= '{CUTOFF}'),
+  from news_entry where coalesce(publishedat, '') = '' or publishedat >= strftime(timestamp '2023-02-14' - interval 30 day, '%Y-%m-%dT%H:%M:%S.000Z')),
 m as (select * from (select *, row_number() over (partition by key order by side, delivery_id) as n from l) where n = 1)
 """
 
@@ -442,22 +511,32 @@ def json_unnest(spark: SparkSession, d: str) -> DataFrame:
 
 
 def boards_document(spark: SparkSession, d: str) -> DataFrame:
-    """All six boards as the one document that readers get."""
-    return rankings_document(ranking.boards(_scored(spark, d, "wikipediaurl", "lastupdated"), tie="rec_id"), f"{AS_OF}-01-01T00:00:00.000Z")
+    """All six boards as the one document that readers get, read back place by place."""
+    doc = rankings_document(ranking.boards(_scored(spark, d, "wikipediaurl", "lastupdated"), tie="rec_id"), f"{AS_OF}-01-01T00:00:00.000Z")
+    entry = "array<struct<name: string, wins: bigint, losses: bigint, secondaryScore: bigint, isSenior: boolean, wikipediaUrl: string>>"
+    read = F.from_json("json", ", ".join(f"{n} {entry}" for n in DOC_NAMES.values()))
+    lists = F.array(*(F.struct(F.lit(b).alias("board"), F.col("x")[n].alias("rows")) for b, n in DOC_NAMES.items()))
+    rows = doc.select(read.alias("x")).select(F.explode(lists).alias("b")).select("b.board", F.posexplode("b.rows").alias("at", "r"))
+    return rows.select("board", (F.col("at") + 1).cast("long").alias("rank"), "r.*")
 
 
 _BOARDS = {"best": "best_board", "worst": "worst_board", "secondary": "quality_board", "secondaryWorst": "quality_worst_board", "thirdary": "ratio_board", "thirdaryWorst": "ratio_worst_board"}
 QUERIES: dict[str, Query] = {q: _board_query(b)[0] for b, q in _BOARDS.items()}
 QUERIES |= {
     f.__name__: f for f in (
-        scores, board_movement, board_view, name_facts, category_expand, category_deep, country_pages, priority_union, wiki_records, wiki_quality_wins, plain_text, infobox_classes,
+        scores, gender_attach, boards_long, run_report, board_view, name_facts, category_expand, category_deep, country_pages, priority_union, wiki_records, wiki_quality_wins, plain_text, infobox_classes,
         infobox_images, infobox_spans, countries, watch_list, mention_match, rolling_merge, first_headlines, new_since, headline_distinct, digest, fill_missing, json_unnest, boards_document,
     )
 }
 SQL: dict[str, str] = {q: _board_query(b)[1] for b, q in _BOARDS.items()}
 SQL |= {
     "scores": f'{_SCORED_SQL} select rec_id, s2, round(s3, 9) as s3, senior as "isSenior" from s',
-    "board_movement": _MOVEMENT_SQL,
+    "gender_attach": f"{_EDGES_SQL}{_TOP_SQL}{_DEEP_SQL}, f as {_gender_sql('Female')}, m as {_gender_sql('Male')}, g as (select title, case when title in (select title from f) then 'female' else 'male' end as gender from (select title from f union select title from m union select title from deep)) select n.name, g.gender from (select distinct name from fighter_records) n left join g on g.title = n.name",
+    "boards_long": f"{_boards_sql('rec_id, cast(section as bigint) as section')} select * from boards",
+    "run_report": f"""{_boards_sql('name')} select 'requested' as what, 0 as place, null as name, count(*) as n from fighter_records union all select 'read', 0, null, count(*) from s
+union all select board, 0, null, count(*) from boards group by board union all select board, rank, name, null from boards where rank <= 10""",
+    "boards_document": f"""{_boards_sql('s.name, s.wins, s.losses, s2, senior, wikipediaurl').replace('select distinct ', 'select distinct wikipediaurl, ').replace('select rec_id, name,', 'select rec_id, wikipediaurl, name,').replace('s.name, s.wins, s.losses', 'name, wins, losses')}
+select board, rank, name, wins, losses, case when board like 'secondary%' then s2 end as "secondaryScore", case when board not in ('best', 'worst') then senior end as "isSenior", wikipediaurl as "wikipediaUrl" from boards""",
     "board_view": _view_sql(),
     "name_facts": _names_sql(),
     "category_expand": f"{_EDGES_SQL}{_TOP_SQL} " + _FLAT_SQL.format(root="child", at="t", at_col="child"),
@@ -479,3 +558,8 @@ SQL |= {
     "fill_missing": "with g as (select title, arg_max(struct_pack(pageid, wins, losses), pageid) as p from infobox group by title) select a.title, p.pageid, p.wins, p.losses from (select distinct name as title from fighter_records) a left join g on a.title = g.title",
     "json_unnest": "select event_id, key, value from (select event_id, unnest(json_keys(props)) as key, props from events), lateral (select json_extract_string(props, '$.' || key) as value)",
 }
+for _board, _sort in _VIEW_ORDERS:
+    _name = f"view_{_board}_{_sort}" if _board == "best" else f"view_{_board}"
+    QUERIES[_name], SQL[_name] = _view_query(_board, _sort), _view_order_sql(_board, _sort)
+for _board, _name in (("best", "board_movement"), ("worst", "worst_movement")):
+    QUERIES[_name], SQL[_name] = _movement(_board), _movement_sql(_board)
