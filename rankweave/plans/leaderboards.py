@@ -13,7 +13,7 @@ from rankweave.functions import country, text
 from rankweave.functions.wikitext import image_url, infobox, quality_wins, records, strip_markup, weight_class
 from rankweave.operators import discovery, news, ranking, views
 from rankweave.operators.keyed import missing
-from rankweave.session import checkpointed
+from rankweave.session import checkpointed, spread
 from rankweave.sources.snapshots import DOC_NAMES, rankings_document
 from rankweave.sources.tables import table
 
@@ -298,13 +298,9 @@ def _gender_sql(g: str) -> str:
 
 # ---- markup ----
 
-def _wiki(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").where("kind = 'wikitext'").select("doc_id", "text")
-
-
 def wiki_records(spark: SparkSession, d: str) -> DataFrame:
-    """Records read from all wiki pages: totals, nationality, class, image, year, quality wins."""
-    return records(_wiki(spark, d), "text").select("doc_id", "total", "wins", "kos", "losses", "draws", "nationality", "weightClass", "imageUrl", "birthDate", "qualityWins")
+    """Records read from every document that has an infobox: totals, nationality, class, image, year, quality wins."""
+    return records(spread(table(spark, d, "documents").select("doc_id", "text"), "doc_id"), "text").select("doc_id", "total", "wins", "kos", "losses", "draws", "nationality", "weightClass", "imageUrl", "birthDate", "qualityWins")
 
 
 def wiki_quality_wins(spark: SparkSession, d: str) -> DataFrame:
@@ -371,7 +367,7 @@ def infobox_images(spark: SparkSession, d: str) -> DataFrame:
 
 _IMAGES_SQL = r"""
 with x as (select distinct pageid, pageid % 8 as k, coalesce(image, '') as i from infobox),
-y as (select pageid, case k when 6 then i || ' (left).PNG' when 7 then '' when 5 then '' when 4 then '' else i end as i, k from x),
+y as (select pageid, case k when 6 then trim(i || ' (left).PNG') when 7 then '' when 5 then '' when 4 then '' else i end as i, k from x),
 z as (select pageid, case when k = 6 then y.i else regexp_extract(y.i, '(?i).+\.(?:jpg|jpeg|png|gif|svg|webp)$') end as n from y)
 select pageid, case when n = '' or regexp_matches(n, '(?i)Med[\s_]*\d*\.png|Generic_belt_icon\.svg|Olympic[\s_]*rings\.svg|Boxbelt|Medal[\s_]|Ribbon[\s_]|File-icon') then ''
   else 'https://en.wikipedia.org/wiki/Special:FilePath/' || replace(replace(url_encode(replace(n, ' ', '_')), '%28', '('), '%29', ')') end as url from z
@@ -386,6 +382,42 @@ def infobox_spans(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+# Balanced templates as nested as the tables have them; the operator follows any depth.
+_BOX_SQL = r"""
+with boxed as (select doc_id, text, coalesce(""" + ", ".join(
+    rf"nullif(regexp_extract(case when contains(text, '{{{{Infobox {kind}') then text[strpos(text, '{{{{Infobox {kind}'):] else '' end, '^\{{\{{(?:[^{{}}]|\{{\{{(?:[^{{}}]|\{{\{{[^{{}}]*\}}\}})*\}}\}})*\}}\}}'), '')"
+    for kind in ("martial artist", "person", "officeholder", "military")
+) + r""") as box from documents)
+"""
+
+
+def _param_sql(key: str) -> str:
+    return rf"nullif(regexp_extract(box, '(?:^|\n)\|?[ ]*{key}[ ]*=[ ]*([^\n]*)', 1), '')"
+
+
+def _records_sql() -> str:
+    seen = lambda *keys: "(" + " or ".join(rf"regexp_matches(box, '(?:^|[\n|])[ ]*{k}[ ]*=')" for k in keys) + ")"
+    num = lambda k: rf"coalesce(try_cast(regexp_extract(box, '(?:^|[\n|])[ ]*{k}[ ]*=[ ]*(\d+)', 1) as bigint), 0)"
+    won, lost = ("mma_kowin", "mma_subwin", "mma_decwin"), ("mma_koloss", "mma_subloss", "mma_decloss", "mma_dqloss")
+    ws = _WS_SQL
+    plain = lambda c: _stripped_sql(c)
+    place = plain(_param_sql("birth_place"))
+    return f"""{_BOX_SQL.rstrip()},
+v as (select doc_id, text, box, case when {seen(*won, 'ko', 'win_by_ko')} then {" + ".join(map(num, won))} end as wins, case when {seen(*lost, 'mma_draw')} then {" + ".join(map(num, lost))} end as losses,
+  case when {seen(*won)} then {num('mma_kowin')} else 0 end as kos, {num('mma_draw')} as draws, {num('(?:no_contests|nc)')} as nc,
+  try_cast(nullif(regexp_extract(box, '(?:^|[\\n|])[ ]*total[ ]*=[ ]*(\\d+)', 1), '') as bigint) as told,
+  coalesce(nullif({plain(_param_sql("nationality"))}, ''), trim(list_filter(string_split({place}, ','), lambda x: trim(x) <> '')[-1]), '') as nationality,
+  coalesce({_param_sql("weight_class")}, '') as weightclass, coalesce(regexp_extract({_param_sql("birth_date")}, '(\\d{{4}})', 1), '') as year,
+  coalesce({_param_sql("image")}, '') as image from boxed where box is not null),
+q as ({_QUALITY_SQL}), infobox as (select doc_id as pageid, weightclass from v), c as ({_class_sql()})
+select v.doc_id, coalesce(told, wins + losses + draws + nc) as total, wins, kos, losses, draws, nationality, coalesce(weight_class, '') as "weightClass",
+  case when image = '' then '' else 'https://en.wikipedia.org/wiki/Special:FilePath/' || url_encode(replace(image, ' ', '_')) end as "imageUrl", year as "birthDate", quality_wins as "qualityWins"
+from v join c on c.pageid = v.doc_id join q on q.doc_id = v.doc_id where wins is not null and losses is not null"""
+
+
+_RECORDS_SQL = _records_sql()
+
+
 # ---- countries ----
 
 def countries(spark: SparkSession, d: str) -> DataFrame:
@@ -544,6 +576,8 @@ select board, rank, name, wins, losses, case when board like 'secondary%' then s
     "country_pages": f"{_EDGES_SQL} select title from {_gender_sql('Female')}",
     "priority_union": f"{_EDGES_SQL}{_TOP_SQL}{_DEEP_SQL}, f as {_gender_sql('Female')}, m as {_gender_sql('Male')} select title, case when title in (select title from f) then 'female' else 'male' end as gender from (select title from f union select title from m union select title from deep)",
     "wiki_quality_wins": _QUALITY_SQL,
+    "infobox_spans": f"{_BOX_SQL} select doc_id, cast(length(box) as bigint) as n_chars, cast(len(regexp_extract_all(box, '\\{{\\{{')) as bigint) as opened from boxed where box is not null",
+    "wiki_records": _RECORDS_SQL,
     "plain_text": f"select doc_id, {_stripped_sql('text')} as plain from documents",
     "infobox_classes": _class_sql(),
     "infobox_images": _IMAGES_SQL,
