@@ -391,13 +391,17 @@ with boxed as (select doc_id, text, coalesce(""" + ", ".join(
 """
 
 
+#: White space within a line.
+_BLANK = r"[ \t\x{a0}\x{1680}\x{2000}-\x{200a}\x{202f}\x{205f}\x{3000}\x{feff}]"
+
+
 def _param_sql(key: str) -> str:
-    return rf"nullif(regexp_extract(box, '(?:^|\n)\|?[ ]*{key}[ ]*=[ ]*([^\n]*)', 1), '')"
+    return rf"nullif(regexp_extract(box, '(?:^|\n)\|?{_BLANK}*{key}{_BLANK}*={_BLANK}*([^\n]*)', 1), '')"
 
 
 def _records_sql() -> str:
-    seen = lambda *keys: "(" + " or ".join(rf"regexp_matches(box, '(?:^|[\n|])[ ]*{k}[ ]*=')" for k in keys) + ")"
-    num = lambda k: rf"coalesce(try_cast(regexp_extract(box, '(?:^|[\n|])[ ]*{k}[ ]*=[ ]*(\d+)', 1) as bigint), 0)"
+    seen = lambda *keys: "(" + " or ".join(rf"regexp_matches(box, '(?:^|[\n|]){_BLANK}*{k}{_BLANK}*=')" for k in keys) + ")"
+    num = lambda k: rf"coalesce(try_cast(regexp_extract(box, '(?:^|[\n|]){_BLANK}*{k}{_BLANK}*={_BLANK}*(\d+)', 1) as bigint), 0)"
     won, lost = ("mma_kowin", "mma_subwin", "mma_decwin"), ("mma_koloss", "mma_subloss", "mma_decloss", "mma_dqloss")
     ws = _WS_SQL
     plain = lambda c: _stripped_sql(c)
@@ -405,7 +409,7 @@ def _records_sql() -> str:
     return f"""{_BOX_SQL.rstrip()},
 v as (select doc_id, text, box, case when {seen(*won, 'ko', 'win_by_ko')} then {" + ".join(map(num, won))} end as wins, case when {seen(*lost, 'mma_draw')} then {" + ".join(map(num, lost))} end as losses,
   case when {seen(*won)} then {num('mma_kowin')} else 0 end as kos, {num('mma_draw')} as draws, {num('(?:no_contests|nc)')} as nc,
-  try_cast(nullif(regexp_extract(box, '(?:^|[\\n|])[ ]*total[ ]*=[ ]*(\\d+)', 1), '') as bigint) as told,
+  try_cast(nullif(regexp_extract(box, '(?:^|[\\n|]){_BLANK}*total{_BLANK}*={_BLANK}*(\\d+)', 1), '') as bigint) as told,
   coalesce(nullif({plain(_param_sql("nationality"))}, ''), trim(list_filter(string_split({place}, ','), lambda x: trim(x) <> '')[-1]), '') as nationality,
   coalesce({_param_sql("weight_class")}, '') as weightclass, coalesce(regexp_extract({_param_sql("birth_date")}, '(\\d{{4}})', 1), '') as year,
   coalesce({_param_sql("image")}, '') as image from boxed where box is not null),
