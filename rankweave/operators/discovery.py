@@ -38,51 +38,52 @@ def is_extra_country(category: Column) -> Column:
     return ~_any(category, EXTRA_EXCLUDES)
 
 
-def _children(roots: DataFrame, edges: DataFrame, kind: str) -> DataFrame:
-    """``(root, child)`` of the children of each root's ``at``; ``roots`` is ``(root, at)``."""
-    e = edges.where(F.col("kind") == kind).select(F.col("parent").alias("at"), "child")
-    return meet(e, roots, "at").select("root", "child")
+def _expand(roots: DataFrame, edges: DataFrame) -> DataFrame:
+    """``(root, title)`` of every way from a root to a page, repeats included; ``roots`` is ``(root, at, deep)``.
 
-
-def _pages(at: DataFrame, edges: DataFrame) -> DataFrame:
-    return _children(at, edges, "page").where(is_entity_page(F.col("child"))).withColumnRenamed("child", "title")
+    Two joins at category level, the second only for deep roots, and one with
+    the pages, for all roots at once.
+    """
+    below = edges.where((F.col("kind") == "subcat") & ~F.contains("child", F.lit("Lists of"))).select(F.col("parent").alias("at"), "child")
+    pages = edges.where((F.col("kind") == "page") & is_entity_page(F.col("child"))).select(F.col("parent").alias("at"), F.col("child").alias("title"))
+    subs = meet(below, roots, "at").where(~F.col("deep") | _any(F.col("child"), DEEP)).select("root", F.col("child").alias("at"), "deep")
+    last = meet(below, subs.where("deep"), "at").select("root", F.col("child").alias("at"))
+    at = roots.select("root", "at").unionByName(subs.select("root", "at")).unionByName(last)
+    return meet(pages, at, "at").select("root", "title")
 
 
 def category_pages(roots: DataFrame, edges: DataFrame) -> DataFrame:
     """``(root, title)``: pages of a category and of its direct subcategories but lists; ``roots`` is ``(root, at)``.
 
-    One level, as wide as the graph is: an edge join per level and one
-    distinct. Repeated edges count once; a root that has no edge has no pages.
+    One level, as wide as the graph is. Repeated edges count once; a root that
+    has no edge has no pages.
     """
-    subs = _children(roots, edges, "subcat").where(~F.contains("child", F.lit("Lists of"))).withColumnRenamed("child", "at")
-    return _pages(roots.unionByName(subs), edges).distinct()
+    return _expand(roots.withColumn("deep", F.lit(False)), edges).distinct()
 
 
 def category_pages_deep(roots: DataFrame, edges: DataFrame) -> DataFrame:
     """``(root, title)``: direct pages, and those of ``category_pages`` of the subcategories by state, place or descent."""
-    subs = _children(roots, edges, "subcat").where(~F.contains("child", F.lit("Lists of")) & _any(F.col("child"), DEEP)).withColumnRenamed("child", "at")
-    return _pages(roots, edges).unionByName(category_pages(subs, edges)).distinct()
+    return _expand(roots.withColumn("deep", F.lit(True)), edges).distinct()
+
+
+def _below(edges: DataFrame, top: str) -> DataFrame:
+    return edges.where((F.col("parent") == f"{top} by nationality") & (F.col("kind") == "subcat")).select(F.col("child").alias("at"))
 
 
 def country_pages(gender_category: str, edges: DataFrame) -> DataFrame:
     """``(root, title)`` under every country of ``<category> by nationality``."""
-    top = f"{gender_category} by nationality"
-    countries = edges.where((F.col("parent") == top) & (F.col("kind") == "subcat")).select(F.lit(gender_category).alias("root"), F.col("child").alias("at"))
-    return category_pages(countries, edges)
+    return category_pages(_below(edges, gender_category).withColumn("root", F.lit(gender_category)), edges)
 
 
 def all_pages(edges: DataFrame, male: str = "Category:Male mixed martial artists", female: str = "Category:Female mixed martial artists", everyone: str = "Category:Mixed martial artists") -> DataFrame:
     """``(title, gender)`` of every entity once: female wins over male, male over pages of further countries."""
-    extra = (
-        edges.where((F.col("parent") == f"{everyone} by nationality") & (F.col("kind") == "subcat") & is_extra_country(F.col("child")))
-        .select(F.lit(everyone).alias("root"), F.col("child").alias("at"))
-    )
-    tagged = [
-        country_pages(female, edges).select("title", F.lit("female").alias("gender"), F.lit(0).alias("p")),
-        country_pages(male, edges).select("title", F.lit("male").alias("gender"), F.lit(1).alias("p")),
-        category_pages_deep(extra, edges).select("title", F.lit("male").alias("gender"), F.lit(2).alias("p")),
+    roots = [
+        _below(edges, female).select(F.lit(0).alias("root"), "at", F.lit(False).alias("deep")),
+        _below(edges, male).select(F.lit(1).alias("root"), "at", F.lit(False).alias("deep")),
+        _below(edges, everyone).where(is_extra_country(F.col("at"))).select(F.lit(2).alias("root"), "at", F.lit(True).alias("deep")),
     ]
-    return reduce(DataFrame.unionByName, tagged).groupBy("title").agg(F.min_by("gender", "p").alias("gender"))
+    first = _expand(reduce(DataFrame.unionByName, roots), edges).groupBy("title").agg(F.min("root").alias("first"))
+    return first.select("title", F.when(F.col("first") == 0, "female").otherwise("male").alias("gender"))
 
 
 def attach_gender(records: DataFrame, pages: DataFrame, name: str = "name") -> DataFrame:

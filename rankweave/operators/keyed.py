@@ -55,7 +55,7 @@ def meet(rows: DataFrame, few: DataFrame, key: str, hot_rows: int = HOT_ROWS, sa
     ``hot_rows`` rows or more are spread over ``salts`` tasks, to each of which
     their rows of ``few`` go, and all other keys meet in a plain shuffle.
     """
-    if few.limit(broadcast_rows + 1).count() <= broadcast_rows:
+    if few.count() <= broadcast_rows:
         return rows.join(F.broadcast(few), key)
     hot = rows.groupBy(key).count().where(F.col("count") >= hot_rows).select(key)  # rows / hot_rows at most
     calm = rows.join(F.broadcast(hot), key, "left_anti").join(few, key)

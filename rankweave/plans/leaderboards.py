@@ -322,7 +322,7 @@ select doc_id, count(*) filter (where regexp_matches(row, '(?i)(^|[^A-Za-z0-9_])
 
 def plain_text(spark: SparkSession, d: str) -> DataFrame:
     """Every document without its markup."""
-    return table(spark, d, "documents").select("doc_id", strip_markup(F.col("text")).alias("plain"))
+    return spread(table(spark, d, "documents").select("doc_id", "text"), "doc_id").select("doc_id", strip_markup(F.col("text")).alias("plain"))
 
 
 

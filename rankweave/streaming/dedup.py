@@ -172,6 +172,7 @@ class SeenStore:
             "spark.sql.session.timeZone": "UTC",
             "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
             "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+            "spark.sql.streaming.noDataMicroBatches.enabled": "false",  # what expires last expires with the next data
         }.items():
             self.session.conf.set(k, str(v))
 
