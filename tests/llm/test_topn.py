@@ -36,3 +36,13 @@ def test_edges(spark):
     assert top_n(df, ["g"], order, 0).count() == 0
     assert top_n(df.limit(0), ["g"], order, 3).count() == 0
     assert top_n(df.selectExpr("g", "cast(null as long) s", "cast(null as long) id"), ["g"], order, 3).count() == 3
+
+
+def test_more_bits_than_a_code_holds(spark):
+    rng = random.Random(11)
+    big = 2**62
+    rows = [(rng.choice(["hot", "hot", None, f"g{rng.randrange(20)}"]), "m", rng.choice([None, big, -big, 7]), rng.choice([None, big, -big, 1]), i * 2**52 - 5) for i in range(500)]
+    df = spark.createDataFrame(rows, "g string, h string, a long, b long, id long")
+    for n, hot in ((3, 10**6), (40, 50)):
+        got = [tuple(r) for r in top_n(df, ["g", "h"], [("a", True), ("b", False), ("id", False)], n, 63, hot).collect()]
+        assert sorted(got, key=str) == sorted(brute(rows, n), key=str)
