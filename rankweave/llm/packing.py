@@ -156,15 +156,13 @@ def pack(sizes: np.ndarray, sources: np.ndarray, clusters: np.ndarray, capacity:
     share as the numbers allow.
 
     Texts go in falling order of size, but those of sources and clusters that
-    need more than a ``crowded``-th of the containers go first, the most
-    numerous before others: once they stand apart, all other texts find room
-    between them.
+    need more than a ``crowded``-th of the containers go first: once they stand
+    apart, all other texts find room between them.
     """
     bins = ResidualBins(capacity)
     needed = max(1, -(-int(sizes.sum()) // capacity))
     press = np.maximum(_members(sources), _members(clusters))
-    press = np.where(press * crowded > needed, press, 0)
-    order = np.lexsort((-sizes, -press))
+    order = np.lexsort((-sizes, press * crowded <= needed))
     one = [x[0] if x else 0 for x in _bits(clusters, max(1, len(clusters)))]
     many = _bits(sources, needed)
     placed = np.zeros((len(sizes), 3), dtype=np.int64)
