@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -83,6 +86,17 @@ def _orders(collated: bool, tie: str) -> dict[str, list[Column]]:
     }
 
 
+def _fit(name: str, min_wins: int = MIN_WINS, min_losses: int = MIN_LOSSES, max_wins: int = MAX_WINS) -> Column:
+    """Whether a record qualifies for a board."""
+    image, score = F.col("imageUrl").isNotNull(), {"s": F.col("secondaryScore") > 0, "t": F.col("thirdaryScore") > 0}
+    if name == "best":
+        return (F.col("losses") == 0) & (F.col("wins") >= min_wins) & image
+    if name == "worst":
+        return (F.col("wins") == 0) & (F.col("losses") >= min_losses)
+    fit = (F.col("wins") != 0) & image & score[name[0]]
+    return fit & (F.col("wins") <= max_wins) if name[0] == "t" else fit
+
+
 def board(
     scored: DataFrame, name: str, previous: DataFrame | None = None, *, tie: str = "name", collated: bool = True, min_wins: int = MIN_WINS,
     min_losses: int = MIN_LOSSES, max_wins: int = MAX_WINS, quota: int = QUOTA,
@@ -97,14 +111,7 @@ def board(
     qualify, but missing draws count as none; an empty table gives no rows.
     """
     order = _orders(collated, tie)[name]
-    image, score = F.col("imageUrl").isNotNull(), {"s": F.col("secondaryScore") > 0, "t": F.col("thirdaryScore") > 0}
-    if name == "best":
-        rows = scored.where((F.col("losses") == 0) & (F.col("wins") >= min_wins) & image)
-    elif name == "worst":
-        rows = scored.where((F.col("wins") == 0) & (F.col("losses") >= min_losses))
-    else:
-        fit = (F.col("wins") != 0) & image & score[name[0]]
-        rows = scored.where(fit & (F.col("wins") <= max_wins) if name[0] == "t" else fit)
+    rows = scored.where(_fit(name, min_wins, min_losses, max_wins))
     rows = rows.withColumn("section", F.lit(0))
     if name in ("secondary", "thirdary"):
         rows = quota_walk(rows, order, ~F.col("isSenior"), quota)
@@ -130,10 +137,11 @@ def previous_ranks(previous: DataFrame, name: str) -> DataFrame:
 def boards(scored: DataFrame, previous: DataFrame | None = None, **options) -> DataFrame:
     """All six boards in one long table; ``previous`` is the last run's ``(board, name, rank, imageUrl)``.
 
-    Records are written once to the shared folder, so that what made them, a
-    parse of all pages perhaps, doesn't run once per board.
+    Records that qualify for any board are written once to the shared folder, so
+    that what made them, a parse of all pages perhaps, doesn't run once per board.
     """
-    scored, out = checkpointed(scored), None
+    limits = {k: options[k] for k in ("min_wins", "min_losses", "max_wins") if k in options}
+    scored, out = checkpointed(scored.where(reduce(or_, (_fit(name, **limits) for name in BOARDS)))), None
     for name in BOARDS:
         before = previous_ranks(previous, name) if previous is not None and name in ("best", "worst") else None
         one = board(scored, name, before, **options)

@@ -14,7 +14,7 @@ from rankweave.functions.wikitext import image_url, infobox, quality_wins, recor
 from rankweave.operators import discovery, news, ranking, views
 from rankweave.operators.keyed import missing
 from rankweave.session import checkpointed, spread
-from rankweave.sources.snapshots import DOC_NAMES, rankings_document
+from rankweave.sources.snapshots import document_parts, read_document
 from rankweave.sources.tables import table
 
 #: The year that ages are counted to, and the time of the news run, 30 days before which news expires.
@@ -547,13 +547,10 @@ def json_unnest(spark: SparkSession, d: str) -> DataFrame:
 
 
 def boards_document(spark: SparkSession, d: str) -> DataFrame:
-    """All six boards as the one document that readers get, read back place by place."""
-    doc = rankings_document(ranking.boards(_scored(spark, d, "wikipediaurl", "lastupdated"), tie="rec_id"), f"{AS_OF}-01-01T00:00:00.000Z")
-    entry = "array<struct<name: string, wins: bigint, losses: bigint, secondaryScore: bigint, isSenior: boolean, wikipediaUrl: string>>"
-    read = F.from_json("json", ", ".join(f"{n} {entry}" for n in DOC_NAMES.values()))
-    lists = F.array(*(F.struct(F.lit(b).alias("board"), F.col("x")[n].alias("rows")) for b, n in DOC_NAMES.items()))
-    rows = doc.select(read.alias("x")).select(F.explode(lists).alias("b")).select("b.board", F.posexplode("b.rows").alias("at", "r"))
-    return rows.select("board", (F.col("at") + 1).cast("long").alias("rank"), "r.*")
+    """All six boards as the one document that readers get, in parts, read back place by place."""
+    parts = document_parts(ranking.boards(_scored(spark, d, "wikipediaurl", "lastupdated"), tie="rec_id"), f"{AS_OF}-01-01T00:00:00.000Z")
+    entry = "struct<name: string, wins: bigint, losses: bigint, secondaryScore: bigint, isSenior: boolean, wikipediaUrl: string>"
+    return read_document(parts, entry).select("board", "rank", "r.*")
 
 
 _BOARDS = {"best": "best_board", "worst": "worst_board", "secondary": "quality_board", "secondaryWorst": "quality_worst_board", "thirdary": "ratio_board", "thirdaryWorst": "ratio_worst_board"}

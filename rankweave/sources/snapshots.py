@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
+from rankweave.session import checkpointed
 from rankweave.sources.tables import NEWS_ENTRY, RECORD
 
 BOARD_ROW = T.StructType([*RECORD.fields, T.StructField("board", T.StringType()), T.StructField("section", T.IntegerType()), T.StructField("rank", T.LongType())])
@@ -86,8 +90,8 @@ def rankings_document(boards: DataFrame, last_updated: str, max_rows: int = MAX_
     """One row ``json``: the document of all boards. Empty optional boards are omitted, ``fighters`` never is; nulls are left out.
 
     An export for readers of one document. Some boards have no limit, so the
-    rows are counted first and more than ``max_rows`` are refused; ``write_boards``
-    writes boards of any size.
+    rows are counted first and more than ``max_rows`` are refused; ``document_parts``
+    gives the same text for boards of any size.
     """
     if (n := boards.limit(max_rows + 1).count()) > max_rows:
         raise ValueError(f"the boards have at least {n} rows; one document takes {max_rows}")
@@ -99,3 +103,42 @@ def rankings_document(boards: DataFrame, last_updated: str, max_rows: int = MAX_
     doc = boards.agg(*lists)
     fields = [F.col("fighters")] + [F.when(F.size(n) > 0, F.col(n)).alias(n) for n in list(DOC_NAMES.values())[1:]]
     return doc.select(F.to_json(F.struct(F.lit(last_updated).alias("lastUpdated"), *fields)).alias("json"))
+
+
+#: Entries in a part of the document.
+PART_ROWS = 1_000
+
+
+def document_parts(boards: DataFrame, last_updated: str, rows_per_part: int = PART_ROWS) -> DataFrame:
+    """``(place, part, before, json)``: the document of all boards, of any size, in parts.
+
+    Joined in order of ``place`` and ``part`` they are the text that
+    ``rankings_document`` makes of small boards. ``place`` counts the boards in
+    the document's order; its part 0 closes the list before and opens its own,
+    the others hold at most ``rows_per_part`` entries each, of which ``before``
+    stand in earlier parts of the list.
+    """
+    spark, names = boards.sparkSession, list(DOC_NAMES.values())
+    at = F.array_position(F.array(*map(F.lit, DOC_NAMES)), F.col("board")).cast("int") - 1
+    rows = as_stored(boards).where(F.col("board").isin(*DOC_NAMES)).select(
+        at.alias("place"), (F.coalesce(F.floor(F.col("rank") / F.lit(rows_per_part)), F.lit(0)) + 1).alias("part"), "rank", F.to_json(F.struct(*RECORD.fieldNames())).alias("r")
+    )
+    before = F.sum("n").over(Window.partitionBy("place").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))  # one row per part
+    index = checkpointed(rows.groupBy("place", "part").agg(F.count("*").alias("n")).select("place", "part", F.coalesce(before, F.lit(0)).alias("before")))
+    texts = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rank", "r"))), lambda x: x["r"]), ",")
+    lists = rows.groupBy("place", "part").agg(texts.alias("r")).join(index, ["place", "part"]).select(
+        "place", "part", "before", F.concat(F.when(F.col("before") > 0, ",").otherwise(""), "r").alias("json")
+    )
+    mark = lambda df, place, text: df.select(place.cast("int").alias("place"), F.lit(0).cast("long").alias("part"), F.lit(0).cast("long").alias("before"), text.alias("json"))
+    start = mark(spark.range(1), F.lit(0), F.lit(f'{{"lastUpdated":{json.dumps(last_updated, ensure_ascii=False)},"{names[0]}":['))
+    opened = mark(index.where("before = 0 and place > 0"), F.col("place"), F.concat(F.lit('],"'), F.array(*map(F.lit, names))[F.col("place")], F.lit('":[')))
+    end = mark(spark.range(1), F.lit(len(names)), F.lit("]}"))
+    return start.unionByName(opened).unionByName(lists).unionByName(end)
+
+
+def read_document(parts: DataFrame, entry: str) -> DataFrame:
+    """``(board, rank, r)``: entries of a document in parts with the fields of the type ``entry``, and their places in their lists. A broken entry is an error."""
+    entries = F.when(F.col("part") > 0, F.concat(F.lit("["), F.ltrim("json", F.lit(",")), F.lit("]")))  # the planner may parse a row before it is filtered
+    read = F.from_json(entries, f"array<{entry}>", {"mode": "FAILFAST"})
+    rows = parts.where("part > 0").select("place", "before", F.posexplode(read).alias("at", "r"))
+    return rows.select(F.array(*map(F.lit, DOC_NAMES))[F.col("place")].alias("board"), (F.col("before") + F.col("at") + 1).cast("long").alias("rank"), "r")

@@ -50,3 +50,22 @@ def test_snapshots(spark, tmp_path):
     assert doc["fighters"][0]["name"] == "a" and "worst" not in doc and "gender" in doc["fighters"][0] and "previousRank" not in doc["fighters"][0]
     news = spark.createDataFrame([], snapshots.NEWS_ENTRY)
     assert not snapshots.write_news(news, str(tmp_path / "news"), "1") and snapshots.read_news(spark, str(tmp_path / "news")).count() == 0
+
+
+@pytest.mark.parametrize("present", [["best", "worst", "secondaryWorst"], ["thirdary"], []])
+def test_document_in_parts(spark, present):
+    """Parts joined are the document as one text; read back, every entry stands at its place, also where ranks have gaps."""
+    rows = spark.range(25).select(F.explode(F.array(*map(F.lit, ["none", *present]))).alias("board"), F.concat(F.lit('é,"]}\\\n'), "id").alias("name"), F.when(F.col("id") % 2 == 0, F.col("id")).alias("wins"), (F.col("id") * 3 + 12).alias("rank"))
+    parts = snapshots.document_parts(rows, 'the "day"', rows_per_part=10).orderBy("place", "part").collect()
+    assert "".join(p["json"] for p in parts) == snapshots.rankings_document(rows, 'the "day"').first()["json"]
+    assert all(p["json"].count('"name"') <= 10 for p in parts)
+    back = snapshots.read_document(snapshots.document_parts(rows, "now", rows_per_part=10), "struct<name: string, wins: bigint>")
+    want = {(b, i + 1, f'é,"]}}\\\n{i}', i if i % 2 == 0 else None) for b in present for i in range(25)}
+    got = back.select("board", "rank", "r.*").collect()
+    assert set(map(tuple, got)) == want and len(got) == len(want)
+
+
+def test_a_broken_part_of_a_document_is_an_error(spark):
+    parts = spark.createDataFrame([(0, 1, 0, '{"name":"a"'), (0, 2, 1, ',{"name":"b"}')], "place int, part long, before long, json string")
+    with pytest.raises(Exception, match="MALFORMED"):
+        snapshots.read_document(parts, "struct<name: string>").collect()
